@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_best_fit_packing": "packing",
     "op5_simhash_near_dedup": "simhash",
+    "op10_substring_dedup": "substrings",
 }
 
 
