@@ -19,14 +19,14 @@ def commit(path: str, names: list[str]) -> None:
     """Marks which files of a folder belong to it: files of lost or repeated attempts don't."""
     system, root = place(path)
     system.create_dir(root, recursive=True)
-    with system.open_output_stream(f"{root}/_committed") as f:
+    with system.open_output_stream(f"{root}/_committed", compression=None) as f:
         f.write("".join(f"{n}\n" for n in sorted(names)).encode())
 
 
 def committed(path: str) -> list[tuple[str, int]]:
     """(name, bytes) of a folder's committed files."""
     system, root = place(path)
-    with system.open_input_stream(f"{root}/_committed") as f:
+    with system.open_input_stream(f"{root}/_committed", compression=None) as f:
         names = f.read().decode().split("\n")[:-1]
     return [(n, system.get_file_info(f"{root}/{n}").size) for n in names]
 

@@ -131,7 +131,7 @@ class _Writer(DataSourceArrowWriter):
             for key, member in zip(batch.column("key").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 if archive is None:
                     names.append(f"{uuid.uuid4().hex}.zip")
-                    out = system.open_output_stream(f"{root}/{names[-1]}")
+                    out = system.open_output_stream(f"{root}/{names[-1]}", compression=None)
                     archive, at = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED), 0
                 archive.writestr(zipfile.ZipInfo("" if key is None else str(key)), member or b"")
                 at += len(member or b"") + 256

@@ -18,6 +18,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,24 +37,40 @@ GROUP_PIECES = 1 << 17
 #: Bins a packer holds open.
 OPEN_BINS = 1 << 16
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 _loaded: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable Latin-1 as it is, the rest from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
     """Ids of whole texts, by way of their distinct words.
 
     The tokenizer splits at white space before any merge, so a text's ids are its words' ids
-    one after the other; each distinct word is encoded once and looked up afterwards.
+    one after the other; each distinct word is looked up. A new word that is a run of Latin
+    letters and then ASCII marks is two units to the tokenizer: its letters go to the merges
+    directly, without normalizing; any other word goes to the tokenizer whole.
     """
 
+    #: Letters that lower-case one to one and that NFC keeps, then marks; the apostrophe has rules of its own.
+    PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.cache: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
+        self.names = _byte_letters()
 
     def ids(self, text: bytes) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
@@ -63,16 +80,39 @@ class WordTokenizer:
             return b"".join([cache[w] for w in words])
         except KeyError:
             pass
-        if len(cache) > self.cache_words:
-            cache.clear()
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
+        for known in (cache, self.letters, self.marks):
+            if len(known) > self.cache_words:
+                known.clear()
+        self.marks[""] = b""
+        odd = []
+        for w in words:
+            if w not in cache and not self._plain(w):
+                cache[w] = b""
+                odd.append(w)
+        for i in range(0, len(odd), 1000):
+            some = odd[i : i + 1000]
             for w, e in zip(some, self.encode([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 got = e.ids
                 cache[w] = struct.pack(f"<{len(got)}I", *got)
         return b"".join([cache[w] for w in words])
 
+    def _plain(self, word: bytes) -> bool:
+        found = self.PLAIN.fullmatch(word.decode("utf-8", "replace"))
+        if not found:
+            return False
+        letters, marks = found.groups()
+        if (a := self.letters.get(letters)) is None:
+            written = "".join(map(self.names.get, letters.lower().encode())) if not letters.isascii() else letters.lower()
+            got = [t.id for t in self.merge(written)]
+            a = self.letters[letters] = struct.pack(f"<{len(got)}I", *got)
+        if (b := self.marks.get(marks)) is None:
+            if "<|" in marks:
+                return False
+            got = self.encode([marks], add_special_tokens=False)[0].ids
+            b = self.marks[marks] = struct.pack(f"<{len(got)}I", *got)
+        self.cache[word] = a + b
+        return True
+
 
 def _tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:

@@ -9,6 +9,7 @@ MODULES = {
     "op1_best_fit_packing": "packing",
     "op4_media_columns": "media",
     "op5_simhash_near_dedup": "simhash",
+    "op9_warc": "warc",
     "op10_substring_dedup": "substrings",
 }
 

@@ -72,7 +72,7 @@ def test_word_cache_equals_whole_texts():
     from tokenizers import Tokenizer
 
     whole, own = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer(), cache_words=5)
-    for text in ("É à ́b ΑΣ Σ", "it's 12 34.5 <|endoftext|> A<|ENDOFTEXT|>", "a\x1fb c d", "日本語 テスト", "x" * 300, " \t\r\n", "ﬁ ǅ İ"):
+    for text in ("É à ́b ΑΣ Σ", "it's 12 34.5 <|endoftext|> A<|ENDOFTEXT|>", "a\x1fb c d", "日本語 テスト", "x" * 300, " \t\r\n", "ﬁ ǅ İ", "É, été. ÷x ß... Ñandú!! naïve%%% a_b _c_ x<|y Þ ÿ ÀÉ-ö A*** d'accord l'été, o's", "e\u0301tude é\u0301 a\u00adb"):
         got = own.ids(text.encode())
         assert list(struct.unpack(f"<{len(got) // 4}I", got)) == whole.encode(text, add_special_tokens=False).ids, text
 
