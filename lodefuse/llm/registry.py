@@ -7,6 +7,7 @@ import importlib
 #: Module by query.
 MODULES = {
     "op1_best_fit_packing": "packing",
+    "op2_toxicity": "toxicity",
     "op4_media_columns": "media",
     "op5_simhash_near_dedup": "simhash",
     "op9_warc": "warc",
