@@ -10,6 +10,7 @@ MODULES = {
     "op2_toxicity": "toxicity",
     "op4_media_columns": "media",
     "op5_simhash_near_dedup": "simhash",
+    "op6_quality_classifier": "quality",
     "op9_warc": "warc",
     "op10_substring_dedup": "substrings",
 }
