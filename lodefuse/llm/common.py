@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 
@@ -70,3 +71,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def slim(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, so that extra ones, whatever their names, never clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def literal_rows(spark: SparkSession, schema: str, rows: list) -> DataFrame:
+    """A small table made of a literal, so that no Python rows take part in the plan."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = ", ".join(":".join(f.split(" ", 1)) for f in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))

@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_best_fit_packing": "packing",
     "op2_toxicity": "toxicity",
+    "op3_mixing_sources": "mixing",
     "op4_media_columns": "media",
     "op5_simhash_near_dedup": "simhash",
     "op6_quality_classifier": "quality",
