@@ -6,9 +6,10 @@ import atexit
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One whitespace-delimited word, as the contracts define it.
@@ -79,3 +80,8 @@ def literal_rows(spark: SparkSession, schema: str, rows: list) -> DataFrame:
     text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
     kind = ", ".join(":".join(f.split(" ", 1)) for f in schema.split(", "))
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, however often body or a lambda in it names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

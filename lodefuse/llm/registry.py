@@ -12,6 +12,7 @@ MODULES = {
     "op4_media_columns": "media",
     "op5_simhash_near_dedup": "simhash",
     "op6_quality_classifier": "quality",
+    "op7_pii": "pii",
     "op9_warc": "warc",
     "op10_substring_dedup": "substrings",
 }
