@@ -5,8 +5,8 @@ Seeds are winnowed anchors: of the 10-word grams of each 50-word window the leas
 place in it. Anchors found in one document only are discarded by one aggregation. Around
 each remaining anchor a document's run of windows is described by rolling hashes, one per
 place of the window's start, which is how far a match extends both ways. Runs first extend
-against the smallest document that holds the anchor; windows which that one lacks meet by
-their hash. Flagged windows of a document merge to maximal repeats, and their words go.
+against the smallest document that holds the anchor; what that one lacks extends against the
+smallest of those that start alike, and windows still left over meet by their hash. Flagged windows of a document merge to maximal repeats, and their words go.
 
 Documents with equal word sequences are settled beforehand by a digest of the sequence, so a
 large group of copies costs one row each. No pairs within an anchor's group are made: work
@@ -20,6 +20,7 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ from lodefuse.llm.common import saved, slim, table, texts
 
 WINDOW = 50
 GRAM = 10
+#: Times that runs are extended against the smallest document's before single windows meet by hash.
+ROUNDS = 3
 #: Words that are hashed at once; longer documents are taken in overlapping stretches.
 STRETCH = 1 << 20
 
@@ -206,16 +209,26 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     candidates = saved(docs.join(wanted, "doc_id").withColumn("text_sha", digest).dropDuplicates(["doc_id", "digest", "text_sha"]).drop("text_sha").mapInArrow(_matching, "doc_id long, digest binary, text string, anchors array<long>"), "candidates")
     runs = saved(candidates.mapInArrow(_runs(window, gram), "anchor long, doc_id long, digest binary, at long, first int, hashes array<long>"), "runs")
-    base = runs.groupBy("anchor").agg(F.min_by(F.struct("doc_id", "digest", "at", "first", "hashes"), F.struct("doc_id", "digest", "at")).alias("b"))
-    base = base.select("anchor", F.col("b.doc_id").alias("base_id"), F.col("b.digest").alias("base_digest"), F.col("b.at").alias("base_at"), F.col("b.first").alias("base_first"), F.col("b.hashes").alias("base_hashes"))
-    met = runs.join(base, "anchor").where("NOT (doc_id = base_id AND at = base_at AND digest = base_digest)")
-    extended = saved(met.select("anchor", "doc_id", "digest", "at", "first", "hashes", "base_id", "base_first", "base_hashes").mapInArrow(_extended, "doc_id long, digest binary, anchor long, start long, length long, offset int, left array<long>"), "extended")
-    single = extended.where("left IS NOT NULL").select("doc_id", "digest", "anchor", "start", "offset", F.posexplode("left").alias("i", "hash"))
-    single = single.select("doc_id", "digest", "anchor", (F.col("start") + F.col("i")).alias("start"), (F.col("offset") - F.col("i")).alias("offset"), "hash")
+    matched, kept = [], []
+    for n in range(ROUNDS):
+        # first all runs of an anchor against its smallest document's; then what that left, by the window it starts with
+        key = ["anchor"] if not n else ["anchor", "first", "hash"]
+        runs = runs.withColumn("hash", F.get("hashes", F.lit(0)))
+        base = runs.groupBy(*key).agg(F.min_by(F.struct("doc_id", "digest", "at", "first", "hashes"), F.struct("doc_id", "digest", "at")).alias("b"))
+        if n:  # unlike an anchor's smallest document, these may hold windows of smaller ones that start otherwise
+            kept.append(base.select("anchor", *[F.col(f"b.{c}").alias(c) for c in ("doc_id", "digest", "at", "first", "hashes")]))
+        base = base.select(*key, F.col("b.doc_id").alias("base_id"), F.col("b.digest").alias("base_digest"), F.col("b.at").alias("base_at"), F.col("b.first").alias("base_first"), F.col("b.hashes").alias("base_hashes"))
+        met = runs.join(base, key).where("NOT (doc_id = base_id AND at = base_at AND digest = base_digest)")
+        extended = saved(met.select("anchor", "doc_id", "digest", "at", "first", "hashes", "base_id", "base_first", "base_hashes").mapInArrow(_extended, "doc_id long, digest binary, anchor long, start long, length long, offset int, left array<long>"), "extended")
+        matched.append(extended.where("length > 0").select("doc_id", "digest", "start", "length"))
+        runs = extended.where("left IS NOT NULL").select("anchor", "doc_id", "digest", F.col("start").alias("at"), F.col("offset").alias("first"), F.col("left").alias("hashes"))
+    rest = functools.reduce(DataFrame.unionByName, kept, runs)
+    single = rest.select("doc_id", "digest", "anchor", "at", "first", F.posexplode("hashes").alias("i", "hash"))
+    single = single.select("doc_id", "digest", "anchor", (F.col("at") + F.col("i")).alias("start"), (F.col("first") - F.col("i")).alias("offset"), "hash")
     key = ["anchor", "offset", "hash"]
     low = single.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(*key, "lo")
     more = single.join(low, key).where("doc_id > lo").select("doc_id", "digest", "start", F.lit(1).cast("long").alias("length"))
-    found = extended.where("length > 0").select("doc_id", "digest", "start", "length").unionByName(more)
+    found = functools.reduce(DataFrame.unionByName, matched, more)
     return seeds, candidates, found
 
 
