@@ -13,6 +13,7 @@ MODULES = {
     "op5_simhash_near_dedup": "simhash",
     "op6_quality_classifier": "quality",
     "op7_pii": "pii",
+    "op8_winnowing": "winnowing",
     "op9_warc": "warc",
     "op10_substring_dedup": "substrings",
 }
