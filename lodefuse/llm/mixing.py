@@ -25,12 +25,14 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodefuse.llm.common import WORD, literal_rows, saved, slim, table
+from lodefuse.llm.common import WORD, fresh, literal_rows, saved, slim, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-SHARDS = 64
+#: Words of an output shard, and how many shards there may be, alone and times the sources.
+SHARD_WORDS = 4_000_000
+MAX_SHARDS, MAX_QUOTAS = 4096, 2_000_000
 #: Sources that a mix may have; beyond, they should be grouped first.
 MAX_SOURCES = 10_000
 
@@ -108,8 +110,8 @@ def _word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, shards) of every document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None, seed: int = 0) -> DataFrame:
+    """(doc_id, source, text_hash, size, source_size, target, taken, shards) of every document.
 
     `weights` repeat over the sources by code point, null last. `taken` is the words the mix
     takes of the document, repeats counted: whole times its size, and in a source's last
@@ -117,8 +119,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     `shards` lists (shard, words, key): where each taking goes, and its place there by key.
     """
     spark = docs.sparkSession
-    hashed = F.xxhash64("doc_id", "source", F.lit(seed))
-    rows = saved(slim(docs, "doc_id", "source", "text").select("doc_id", "source", _word_count(F.col("text")).alias("size")).withColumn("h", hashed), "sizes")
+    hashed = F.xxhash64("doc_id", "source", "text_hash", F.lit(seed))
+    rows = saved(slim(docs, "doc_id", "source", "text").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), _word_count(F.col("text")).alias("size")).withColumn("h", hashed), "sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"a mix takes at most {MAX_SOURCES} sources")
@@ -140,6 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     # quotas of block takings by source, split among shards; a source's takings in order go to the shards' disjoint runs
     counts = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.sum(F.col("full") + (F.col("block_quota") > 0).cast("long")).alias("n")).collect()}
+    if shards is None:
+        shards = max(1, min(MAX_SHARDS, MAX_QUOTAS // max(1, len(found)), math.ceil(sum(goal) / SHARD_WORDS)))
     matrix = splitting_tree([counts.get(r["source"], 0) for r in found], shards, seed)
     edges = []
     for i, r in enumerate(found):
@@ -165,16 +169,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     all_rows = whole.unionByName(partly)
     words = lambda i: F.when(i < F.col("full"), F.col("size")).otherwise(F.col("part"))
     listed = F.transform("takes", lambda s, i: F.struct(s.alias("shard"), words(i).alias("words"), F.xxhash64("h", i, F.lit(seed + 4)).alias("key")))
-    return all_rows.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), F.filter(listed, lambda x: x["words"] > 0).alias("shards"))
-
-
-def shard_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(shard, doc_id, source, text): the output shards, each shuffled by its rows' keys; a part is a text's first words."""
-    own = mixed.select("doc_id", "source", F.explode("shards").alias("t")).select("doc_id", "source", "t.*")
-    text = slim(docs, "doc_id", "source", "text").withColumn("n", _word_count(F.col("text")))
-    met = own.join(text.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "text", "n").dropDuplicates(["d", "s", "n"]), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")))
-    kept = F.when(F.col("words") == F.col("n"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("words").cast("int")), " "))
-    return met.select("shard", "doc_id", "source", kept.alias("text"), "key").repartition("shard").sortWithinPartitions("shard", "key").drop("key")
+    return all_rows.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), F.filter(listed, lambda x: x["words"] > 0).alias("shards"))
+
+
+def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The mix itself: docs' columns, a row for each taking, shards apart and shuffled within; a part is a text's first words, a space between."""
+    names = docs.columns
+    row, shard, key, words, n = (fresh(docs, c) for c in ("row", "shard", "key", "words", "n"))
+    takes = mixed.select("doc_id", "source", "text_hash", "size", F.explode("shards").alias("t"))
+    takes = takes.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_hash").alias("h"), F.col("size").alias(n), F.col("t.shard").alias(shard), F.col("t.words").alias(words), F.col("t.key").alias(key))
+    own = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in names]).alias(row)).dropDuplicates(["doc_id", "source", "text_hash"])
+    met = takes.join(own, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("h") == F.col("text_hash")))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(row)["text"], F.lit(WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), " ")
+    text = F.when(F.col(words) == F.col(n), F.col(row)["text"]).otherwise(part)
+    cut = F.char_length(text).cast("long")
+    columns = {"text": text} | ({"n_chars": F.coalesce(cut, F.col(row)["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    met = met.repartition(shard).sortWithinPartitions(shard, key, "doc_id")
+    return met.select(*[columns.get(c, F.col(row)[c]).alias(c) for c in names])
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ and components follow by alternating stars.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a text with
 fewer than three words hashes its whole word sequence; repeated rows share a component; an
-empty table gives no rows; rows with a null doc_id get the component of the others that they
-reach, or null. Other columns are ignored, whatever their names.
+empty table gives no rows; rows with a null doc_id get the least doc_id of the others that
+they reach, or null. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lodefuse.llm.common import saved, slim, table, texts
+from lodefuse.llm.common import fresh, saved, slim, table, texts
 from lodefuse.llm.components import components
 
 RADIUS = 2
@@ -176,13 +177,41 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
     return dealt.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_edges, "u long, v long")
 
 
+def _labelled(made: DataFrame) -> DataFrame:
+    """(fp, doc_id, root): each distinct fingerprint, its least doc_id and its component's least fingerprint."""
+    distinct = saved(made.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    found = components(links(distinct.select("fp", F.col("fp").alias("node"))))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document; components join fingerprints within distance 2."""
     made = saved(fingerprints(docs), "fingerprints")
-    distinct = saved(made.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    found = components(links(distinct.where("node IS NOT NULL")))
-    labelled = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return made.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    labelled = saved(_labelled(made), "labelled")
+    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return made.join(labelled.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (a null one only if there is no other)."""
+    made = saved(fingerprints(docs), "fingerprints")
+    labelled = _labelled(made)
+    kept = labelled.groupBy("root").agg(F.min_by(F.struct("doc_id", "fp"), F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k")).select("k.*")
+    fp, at, own = fresh(docs, "fp"), fresh(docs, "kept_id"), fresh(docs, "kept_fp")
+    rows = _with_fingerprint(docs, fp)
+    met = rows.join(kept.select(F.col("doc_id").alias(at), F.col("fp").alias(own)), (F.col(fp) == F.col(own)) & F.col("doc_id").eqNullSafe(F.col(at)), "left_semi")
+    return met.dropDuplicates(["doc_id", fp]).drop(fp)
+
+
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(made, schema)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -296,6 +297,18 @@ class Model:
         return slim(docs, "doc_id", "text").mapInArrow(_scored(self.language, self.weights, self.coefficients, self.share), "doc_id long, score double")
 
 
+    def keep(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+        """The rows of docs, all columns as they are, that score below the threshold."""
+        scored = _scored(self.language, self.weights, self.coefficients, self.share)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for made in scored(iter([batch.select(["doc_id", "text"])])):
+                    yield batch.filter(pc.less(made.column("score"), threshold))
+
+        return docs.mapInArrow(kept, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = Model(docs, table(spark, sf_dir, "labels")).scores(docs)

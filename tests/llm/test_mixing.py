@@ -72,16 +72,30 @@ def test_sources_meet_their_targets(mixed):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
-def test_shards_hold_the_words(spark, mixed):
+def test_the_mix_holds_the_words(spark, mixed):
     rows, docs, out = mixed
-    got = mixing.shard_rows(docs, out).collect()
+    got = mixing.mixed_documents(docs, out)
+    assert got.columns == docs.columns
+    got = got.collect()
     words, want = Counter(), Counter()
     for r in got:
-        words[r.shard] += count(r.text)
+        words[r.doc_id, r.source] += count(r.text)
     for r in out.collect():
-        for x in r.shards:
-            want[x.shard] += x.words
-    assert words == want and set(words) <= set(range(mixing.SHARDS))
+        if r.taken:
+            want[r.doc_id, r.source] += r.taken
+    assert words == want
+    whole = {}
+    for d, t, s in rows:
+        whole.setdefault((d, s), []).append(t or "")
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    assert all(any(split(t)[: count(r.text)] == split(r.text) for t in whole[r.doc_id, r.source]) for r in got)
+    assert sum(r.text not in whole[r.doc_id, r.source] for r in got) <= 7  # at most one part a source
+
+
+def test_shards_are_near_equal(spark, mixed):
+    out = mixing.mix(mixed[1], shards=7).collect()
+    takings = Counter(x.shard for r in out for x in r.shards)
+    assert set(takings) == set(range(7))
 
 
 def test_empty(spark):

@@ -89,5 +89,13 @@ def test_documents(spark):
     assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["103", "None"]
 
 
+def test_representatives(spark):
+    rows = [(5, "a b c d", "x"), (2, "a b c d", "y"), (2, "a b c d", "y"), (None, "a b c d", "z"), (None, "only here it is", "z"), (None, "only here it is", "w"), (9, None, "n"), (8, "", "n"), (7, "quite another text", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == [(-1, "only here it is"), (2, "a b c d"), (7, "quite another text"), (8, "")]
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
