@@ -17,17 +17,19 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import math
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefuse.llm.common import saved, slim, table, texts
+from lodefuse.llm.common import saved, slim, table
 
 SEQ_LEN = 2048
 #: Tokens of one packing group: 2,048 full sequences, so a group's last open bins waste next to nothing.
@@ -36,7 +38,7 @@ GROUP_TOKENS = 1 << 22
 GROUP_PIECES = 1 << 17
 #: Bins a packer holds open.
 OPEN_BINS = 1 << 16
-#: Distinct words whose ids a Python worker remembers.
+#: Runs of letters whose ids a Python worker remembers.
 CACHE_WORDS = 500_000
 
 _loaded: dict = {}
@@ -49,69 +51,150 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Merges:
+    """Byte-pair merges of many words at once: in each round every word makes its best merge."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, description: str):
+        model = json.loads(description)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)  # rank by place among the sorted keys
+        self.keys, self.made = keys[self.order], np.array([vocab[a + b] for a, b in pairs], np.int32)
+        letters = list(_byte_letters().values())
+        self.inner, self.last = (np.zeros(512, np.int32) for _ in range(2))
+        for c in letters:
+            self.inner[ord(c)], self.last[ord(c)] = vocab[c], vocab[c + end]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.uint32) << np.uint32(16)) | right.astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.order[at], self.NONE)
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian 32-bit integers; words are written as byte-level vocabularies do."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        symbols, word = self.inner[codes], np.repeat(np.arange(len(words)), lengths)
+        ends = np.cumsum(lengths)
+        tails = ends[lengths > 0] - 1
+        symbols[tails] = self.last[codes[tails]]
+        done_symbols, done_words = [], []
+        ranks = np.full(len(symbols), self.NONE)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        ranks[inside] = self._ranks(symbols[inside], symbols[inside + 1])
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, len(word))))
+            rest = best == self.NONE  # words that have no merge left
+            if rest.any():
+                done_symbols.append(symbols[rest])
+                done_words.append(word[rest])
+                more = ~rest
+                symbols, word, ranks, best = symbols[more], word[more], ranks[more], best[more]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(ranks == best)
+            at = at[np.concatenate([[True], word[at][1:] != word[at][:-1]])]  # the leftmost of equals
+            symbols[at] = self.made[ranks[at]]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, word, ranks = symbols[keep], word[keep], ranks[keep]
+            at = at - np.arange(len(at))  # each merge before has taken one place
+            touched = np.concatenate([at, at[at > 0] - 1])
+            touched = touched[touched + 1 < len(symbols)]
+            same = word[touched] == word[touched + 1]
+            ranks[at] = self.NONE
+            ranks[touched[same]] = self._ranks(symbols[touched[same]], symbols[touched[same] + 1])
+            ranks[touched[~same]] = self.NONE
+        if not done_words:
+            return [b""] * len(words)
+        all_words, flat = np.concatenate(done_words), np.concatenate(done_symbols)
+        flat = flat[np.argsort(all_words, kind="stable")].astype(np.uint32).tobytes()
+        edges = (4 * np.cumsum(np.concatenate([[0], np.bincount(all_words, minlength=len(words))]))).tolist()
+        return [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class WordTokenizer:
     """Ids of whole texts, by way of their distinct words.
 
     The tokenizer splits at white space before any merge, so a text's ids are its words' ids
-    one after the other; each distinct word is looked up. A new word that is a run of Latin
-    letters and then ASCII marks is two units to the tokenizer: its letters go to the merges
-    directly, without normalizing; any other word goes to the tokenizer whole.
+    one after the other. A batch's texts are split and their words made distinct in Arrow; a
+    word that is a run of Latin letters and then ASCII marks is two units to the tokenizer,
+    so its letters go to the merges directly, without normalizing, and are remembered; any
+    other word goes to the tokenizer whole.
     """
 
     #: Letters that lower-case one to one and that NFC keeps, then marks; the apostrophe has rules of its own.
-    PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    PLAIN = r"^(?P<letters>[a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+    #: Texts whose ids are put together at once.
+    TEXTS = 500
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.merge = tokenizer.encode_batch_fast, tokenizer.model.tokenize
-        self.cache: dict[bytes, bytes] = {}
+        self.encode, self.merges = tokenizer.encode_batch_fast, Merges(tokenizer.to_str())
         self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
         self.names = _byte_letters()
 
+    def batch(self, own: pa.Array) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; null is empty."""
+        own = own.fill_null("")
+        special = pc.match_substring(own, "<|")  # may hold special tokens, which lower-casing would change
+        apart = dict(zip(np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist(), self._whole(own.filter(special).to_pylist()), strict=True))
+        own = pc.if_else(special, "", own)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(own))
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        index = coded.indices.to_numpy()
+        written = self._words(coded.dictionary)
+        sizes = np.fromiter(map(len, written), np.int64, len(written)) // 4
+        flat, starts = np.frombuffer(b"".join(written), np.uint32), np.cumsum(sizes) - sizes
+        for at in range(0, len(own), self.TEXTS):
+            bounds = offsets[at : at + self.TEXTS + 1]
+            part = index[bounds[0] : bounds[-1]]
+            n = sizes[part]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(starts[part] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+            edges = (4 * ends[bounds - bounds[0]]).tolist()
+            yield from (apart[i] if i in apart else ids[a:b] for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False), at))
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.encode(words, add_special_tokens=False)]
+
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words."""
+        found = pc.extract_regex(words, self.PLAIN)
+        letters, marks = found.field("letters").dictionary_encode(), found.field("marks").dictionary_encode()
+        known = self.letters
+        if len(known) > self.cache_words:
+            known.clear()
+        runs = letters.dictionary.to_pylist()
+        new = [r for r in runs if r not in known]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            known.update(zip(some, self.merges.ids([r.lower() if r.isascii() else "".join(map(self.names.get, r.lower().encode())) for r in some]), strict=True))
+        first = [known[r] for r in runs]
+        second = self._whole(marks.dictionary.to_pylist())
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(words)
+        a, b = letters.indices.fill_null(0).to_numpy().tolist(), marks.indices.fill_null(0).to_numpy().tolist()
+        for i in np.flatnonzero(plain).tolist():
+            out[i] = first[a[i]] + second[b[i]]
+        odd = np.flatnonzero(~plain).tolist()
+        for at in range(0, len(odd), 1000):
+            some = odd[at : at + 1000]
+            for i, ids in zip(some, self._whole([words[i].as_py() for i in some]), strict=True):
+                out[i] = ids
+        return out
+
     def ids(self, text: bytes) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        words = (text if b"<|" in text else text.lower()).split()
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        for known in (cache, self.letters, self.marks):
-            if len(known) > self.cache_words:
-                known.clear()
-        self.marks[""] = b""
-        odd = []
-        for w in words:
-            if w not in cache and not self._plain(w):
-                cache[w] = b""
-                odd.append(w)
-        for i in range(0, len(odd), 1000):
-            some = odd[i : i + 1000]
-            for w, e in zip(some, self.encode([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                got = e.ids
-                cache[w] = struct.pack(f"<{len(got)}I", *got)
-        return b"".join([cache[w] for w in words])
-
-    def _plain(self, word: bytes) -> bool:
-        found = self.PLAIN.fullmatch(word.decode("utf-8", "replace"))
-        if not found:
-            return False
-        letters, marks = found.groups()
-        if (a := self.letters.get(letters)) is None:
-            written = "".join(map(self.names.get, letters.lower().encode())) if not letters.isascii() else letters.lower()
-            got = [t.id for t in self.merge(written)]
-            a = self.letters[letters] = struct.pack(f"<{len(got)}I", *got)
-        if (b := self.marks.get(marks)) is None:
-            if "<|" in marks:
-                return False
-            got = self.encode([marks], add_special_tokens=False)[0].ids
-            b = self.marks[marks] = struct.pack(f"<{len(got)}I", *got)
-        self.cache[word] = a + b
-        return True
+        """One text's ids."""
+        return next(self.batch(pa.array([text.decode("utf-8", "replace")], pa.string())))
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -129,8 +212,8 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int
         tok = _tokenizer(tokenizer)
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = tok.ids(text) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.batch(batch.column("text").cast(pa.string())), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * seq_len)):
                     own = ids[at : at + 4 * seq_len]
                     for column, value in zip(rows, (doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), own), strict=False):

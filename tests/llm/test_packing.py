@@ -80,3 +80,15 @@ def test_word_cache_equals_whole_texts():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, packing.default_tokenizer()).count() == 0
+
+
+def test_merges_equal_the_model():
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(packing.default_tokenizer()), random.Random(3)
+    own = packing.Merges(tok.to_str())
+    names = list(packing._byte_letters().values())
+    words = ["".join(rng.choice("etaoinshrdlu" if rng.random() < 0.9 else names) for _ in range(rng.randint(1, 25))) for _ in range(3000)] + ["", "aaaaaaaaaaaa", "the"]
+    for word, got in zip(words, own.ids(words), strict=True):
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == [t.id for t in tok.model.tokenize(word)] or not word, word
+    assert own.ids([]) == [] and own.ids([""]) == [b""]
