@@ -218,6 +218,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
         if n:  # unlike an anchor's smallest document, these may hold windows of smaller ones that start otherwise
             kept.append(base.select("anchor", *[F.col(f"b.{c}").alias(c) for c in ("doc_id", "digest", "at", "first", "hashes")]))
         base = base.select(*key, F.col("b.doc_id").alias("base_id"), F.col("b.digest").alias("base_digest"), F.col("b.at").alias("base_at"), F.col("b.first").alias("base_first"), F.col("b.hashes").alias("base_hashes"))
+        base = saved(base, "base")  # so that the join below deals both sides itself and splits what a frequent anchor holds
         met = runs.join(base, key).where("NOT (doc_id = base_id AND at = base_at AND digest = base_digest)")
         extended = saved(met.select("anchor", "doc_id", "digest", "at", "first", "hashes", "base_id", "base_first", "base_hashes").mapInArrow(_extended, "doc_id long, digest binary, anchor long, start long, length long, offset int, left array<long>"), "extended")
         matched.append(extended.where("length > 0").select("doc_id", "digest", "start", "length"))
