@@ -10,28 +10,29 @@ from pyspark.sql import functions as F
 
 #: Candidates that MMR takes at most: it is sequential, k times the pool.
 POOL = 300
+#: Rows of a block that is cut to its own frontier.
+BLOCK_ROWS = 1000
 
 
 def pareto(df: DataFrame, key: str, minimise: list[str], maximise: list[str] = ()) -> DataFrame:
     """Rows that no other row dominates; null is worst, equal rows stay together.
 
-    Rows are first cut to the frontier of their own block (blocks by the first axis), in
-    parallel; only block frontiers meet each other.
+    Rows are first cut to the frontier of their own block, in parallel; only block frontiers
+    meet each other.
     """
     axes = [F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))) for c in minimise] + [F.coalesce(-F.col(c).cast("double"), F.lit(float("inf"))) for c in maximise]
     names = [f"axis{i}" for i in range(len(axes))]
     own = df.withColumns(dict(zip(names, axes, strict=True)))
-    # a point's running minimum of the second axis in order of the first tells most dominated points apart
-    block = F.pmod(F.xxhash64(key), F.lit(64))
-    best = own.withColumn("block", block)
-    before = Window.partitionBy("block").orderBy(names[0]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    if len(names) == 2:
-        local = best.withColumn("least", F.min(names[1]).over(before)).where(F.col(names[1]) <= F.col("least")).drop("least")
-    else:
-        local = best
-    other = local.select(*[F.col(n).alias(f"o_{n}") for n in names]).distinct()
     no_worse = reduce(Column.__and__, [F.col(f"o_{n}") <= F.col(n) for n in names])
     better = reduce(Column.__or__, [F.col(f"o_{n}") < F.col(n) for n in names])
+    blocked = own.withColumn("block", F.pmod(F.xxhash64(key), F.lit(max(1, own.count() // BLOCK_ROWS))))
+    if len(names) == 2:  # a running minimum of the second axis in order of the first tells most dominated rows apart
+        before = Window.partitionBy("block").orderBy(names[0]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        local = blocked.withColumn("least", F.min(names[1]).over(before)).where(F.col(names[1]) <= F.col("least")).drop("least")
+    else:
+        others = blocked.select(F.col("block").alias("o_block"), *[F.col(n).alias(f"o_{n}") for n in names]).distinct()
+        local = blocked.join(others, (F.col("block") == F.col("o_block")) & no_worse & better, "left_anti")
+    other = local.select(*[F.col(n).alias(f"o_{n}") for n in names]).distinct()
     return local.join(other, no_worse & better, "left_anti").drop("block", *names)
 
 

@@ -85,8 +85,9 @@ def demoted(pool: DataFrame, vectors: DataFrame, dismissed: DataFrame, cold: boo
     if cold:
         sunken = F.coalesce("gone", F.lit(False))
     else:
-        bad = F.broadcast(vectors.join(dismissed, "listing_id", "left_semi").select(F.col("embedding").alias("bad")).limit(10_000))
-        close = vectors.join(pool, "listing_id", "left_semi").crossJoin(bad).groupBy("listing_id").agg(F.max(dot(F.col("embedding"), F.col("bad"))).alias("top"))
+        near = F.broadcast(vectors.join(pool.select("listing_id"), "listing_id", "left_semi").select("listing_id", "embedding"))  # a pool is cut to a few hundred
+        bad = vectors.join(dismissed, "listing_id", "left_semi").select(F.col("embedding").alias("bad"))
+        close = bad.crossJoin(near).groupBy("listing_id").agg(F.max(dot(F.col("embedding"), F.col("bad"))).alias("top"))
         own = own.join(close, "listing_id", "left")
         sunken = F.coalesce("gone", F.lit(False)) | F.coalesce(F.col("top") > limit, F.lit(False))
     return own.withColumn("sunken", sunken).select("listing_id", "pool_pos", "sunken", F.row_number().over(Window.orderBy("sunken", "pool_pos")).alias("place"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodefuse.functions.geo import DEGREE_KM, cell, haversine_km, neighbours
 
 MIN_BUCKET = 5
+#: Rows of a gazetteer that may be broadcast.
+BROADCAST_ROWS = 20_000
 
 
 def rooms_bucket(rooms: Column) -> Column:
@@ -87,8 +89,18 @@ def nearest(points: DataFrame, targets: DataFrame, first_km: float = 5.0, rounds
 
 
 def distances(points: DataFrame, landmarks: DataFrame, cutoff_km: float | None = None) -> DataFrame:
-    """Every point with every landmark (a small gazetteer), within the cutoff."""
-    out = points.crossJoin(F.broadcast(landmarks)).withColumn("dist_km", haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")))
+    """Every point with every landmark, within the cutoff.
+
+    A gazetteer of up to BROADCAST_ROWS is sent to the points; a larger one meets them on
+    the grid if there is a cutoff, and else pairs are made by shuffled blocks.
+    """
+    if landmarks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pairs = points.crossJoin(F.broadcast(landmarks))
+    elif cutoff_km is not None:
+        return within(points.where("lat IS NOT NULL AND lon IS NOT NULL"), landmarks, cutoff_km)
+    else:
+        pairs = points.crossJoin(landmarks)
+    out = pairs.withColumn("dist_km", haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")))
     return out.where(F.col("dist_km") <= cutoff_km) if cutoff_km is not None else out
 
 
