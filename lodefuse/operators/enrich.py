@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodefuse.functions.text import says
+from lodefuse.operators.signals import majority, nearest
+
 PENDING, UNKNOWN, DROPPED, ORIGINAL = "UNKNOWN-pending", "UNKNOWN", "DROPPED_bad_data", "original"
 STATE = ["listing_id", "field", "filled", "source", "confidence", "raw"]
 
@@ -81,3 +84,48 @@ def disagreements(a: DataFrame, b: DataFrame, field: str) -> DataFrame:
     """(listing_id, left, right): where two sources fill a field differently."""
     pick = lambda d, n: d.where((F.col("field") == field) & ~F.col("source").isin(PENDING, UNKNOWN, DROPPED)).select("listing_id", F.col("filled").alias(n))
     return pick(a, "left").join(pick(b, "right"), "listing_id").where(F.lower("left") != F.lower("right"))
+
+
+def geocoded(points: DataFrame, towns: DataFrame, first_km: float = 5.0) -> DataFrame:
+    """Proposals for city and canton from the nearest town (target_id, tlat, tlon, city, canton) of each point (id, lat, lon)."""
+    near = nearest(points, towns.select("target_id", "tlat", "tlon"), first_km).join(towns.select("target_id", "city", "canton"), "target_id")
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(c).alias("sure")) for f, c in (("city", 0.9), ("canton", 0.95))])
+    out = near.select(F.col("id").alias("listing_id"), F.inline(fields))
+    return out.select("listing_id", "field", "value", F.lit("reverse_geocode").alias("by"), "sure", F.col("value").alias("said"))
+
+
+def voted(rows: DataFrame, known: DataFrame, key: str, field: str) -> DataFrame:
+    """Proposals for a field from the majority of those who share a key: known (key, field), rows (listing_id, key)."""
+    votes = majority(known, key, field)
+    out = rows.join(votes, key)
+    return out.select("listing_id", F.lit(field).alias("field"), F.col(field).cast("string").alias("value"), F.lit("majority_vote").alias("by"), F.col("confidence").cast("double").alias("sure"), F.concat_ws("/", "n", "total").alias("said"))
+
+
+def cached(rows: DataFrame, cache: DataFrame, field: str, digits: int = 4, sure: float = 0.9) -> DataFrame:
+    """Proposals from a cache (lat, lng, value) met by rounded coordinates; of a place's entries the least value."""
+    at = lambda d: {"a": F.round(F.col("lat") * 10**digits).cast("long"), "b": F.round(F.col("lng") * 10**digits).cast("long")}
+    known = cache.withColumns(at(cache)).groupBy("a", "b").agg(F.min("value").alias("value"))
+    met = rows.withColumns(at(rows)).join(known, ["a", "b"])
+    return met.select("listing_id", F.lit(field).alias("field"), "value", F.lit("address_cache").alias("by"), F.lit(sure).alias("sure"), F.col("value").alias("said"))
+
+
+def checked(value: Column, snippet: Column, text: Column, model_sure: Column, base: float) -> tuple[Column, Column]:
+    """(value, confidence) of a model's answer: kept only if its snippet stands in the text; as sure as the less sure."""
+    ok = says(text, snippet)
+    return F.when(ok, value), F.when(ok, F.least(F.lit(base), model_sure)).otherwise(0.0)
+
+
+def with_fields(state: DataFrame, listings: DataFrame, fields: list[str], key: str = "listing_id") -> DataFrame:
+    """The state with pending rows for fields it lacks."""
+    have = state.select("listing_id", "field").distinct()
+    names = F.explode(F.array(*[F.lit(f) for f in fields]))
+    new = listings.select(F.col(key).alias("listing_id"), names.alias("field")).join(have, ["listing_id", "field"], "left_anti")
+    pending = new.select("listing_id", "field", F.lit(UNKNOWN).alias("filled"), F.lit(PENDING).alias("source"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("raw"))
+    return state.unionByName(pending)
+
+
+def curated(existing: DataFrame, mined: DataFrame, dropped: DataFrame, suffix: str, key: str = "key") -> DataFrame:
+    """A gazetteer with mined entries put in: keys there already, entries elsewhere and reviewed ones stay out."""
+    inside = mined.where(F.rlike("display_name", F.lit(suffix)))
+    fresh = inside.join(existing.select(key), key, "left_anti")
+    return existing.unionByName(fresh, allowMissingColumns=True).join(dropped.select(key), key, "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodefuse.functions.geo import haversine_km
+from lodefuse.functions.text import slug, token_sort
 
 NEAR_M = 3000.0
 
@@ -142,3 +143,16 @@ def map_points(listings: DataFrame, spec: FilterSpec) -> DataFrame:
     whole = replace(spec, limit=None, offset=0)
     found = gate(listings, whole).where("latitude IS NOT NULL AND longitude IS NOT NULL")
     return found.select("listing_id", "latitude", "longitude", "price", F.col("area").cast("int").alias("area"))
+
+
+def resolve_landmarks(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(name, key): names as landmark keys, by key, then slugged alias, then the alias's words in any order.
+
+    gazetteer: (key, aliases array<string>). Of several keys the least; names without one are left out.
+    """
+    alias = gazetteer.select("key", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("key"))).alias("alias"))
+    forms = lambda c: F.array(F.struct(F.lit(0).alias("step"), c.alias("form")), F.struct(F.lit(1).alias("step"), slug(c).alias("form")), F.struct(F.lit(2).alias("step"), token_sort(c).alias("form")))
+    known = alias.select("key", F.inline(forms(F.col("alias")))).where("form <> ''")
+    known = known.where((F.col("step") > 0) | (F.col("form") == F.col("key"))).groupBy("step", "form").agg(F.min("key").alias("key"))
+    asked = names.select("name", F.inline(forms(F.trim("name"))))
+    return asked.join(known, ["step", "form"]).groupBy("name").agg(F.min_by("key", "step").alias("key"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lodefuse.functions import text as tx
 from lodefuse.functions.vectors import dot, norm
-from lodefuse.operators import audit, bm25, diversify, enrich, entities, explain, memory, ranking
+from lodefuse.operators import audit, bm25, diversify, enrich, entities, explain, images, memory, ranking
 from lodefuse.operators import signals as sg
-from lodefuse.operators.gate import FilterSpec, gate, map_points, page
+from lodefuse.operators.gate import FilterSpec, gate, map_points, page, resolve_landmarks
 from lodefuse.plans import datasets as ds
 from lodefuse.plans import search
 from lodefuse.streaming import interactions
@@ -738,3 +738,86 @@ def _(spark, d):
 @query("stream_tumbling_batch_form", f"{ds.E} SELECT epoch_us(time_bucket(INTERVAL 1 DAY, created_at)) AS start_us, kind, count(*) AS n FROM ev GROUP BY ALL")
 def _(spark, d):
     return interactions.windowed(ds.events(spark, d), "1 day").select(F.unix_micros("start").alias("start_us"), "kind", "n")
+
+
+# --- more of images, enrichment and search
+
+_BATCH = f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id // 5 AS listing_id, e.vec_id AS image_id, {_dot('e.embedding', 'q.embedding')} AS s FROM embeddings e, embeddings q WHERE q.vec_id IN (2, 9, 33)), b AS (SELECT query_id, listing_id, max(s) AS score, arg_max(image_id, s) AS image_id FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, listing_id) AS rn FROM b)"
+
+
+def _images(spark, d):
+    return ds.table(spark, d, "embeddings").select(F.expr("vec_id DIV 5").alias("listing_id"), F.col("vec_id").alias("image_id"), "embedding", "label")
+
+
+@query("image_batch_search", f"{_BATCH} SELECT query_id, listing_id, image_id, round(score, 9) AS score, CAST(rn AS INT) AS place FROM r WHERE rn <= 8")
+def _(spark, d):
+    q = ds.table(spark, d, "embeddings").where("vec_id IN (2, 9, 33)").select(F.col("vec_id").alias("query_id"), "embedding")
+    return images.batch_search(_images(spark, d), q, 8).withColumn("score", F.round("score", 9))
+
+
+@query("image_search_hydrated", f"{_BATCH} SELECT listing_id * 10 AS listing_id, round(score, 9) AS score FROM r WHERE query_id = 9 AND listing_id % 2 = 0")
+def _(spark, d):
+    own = _images(spark, d)
+    found = search.best_per_listing(own, own.where("image_id = 9")).select(F.col("listing_id").alias("platform_id"), F.round("score", 9).alias("score"))
+    ids = own.where("listing_id % 2 = 0").select(F.col("listing_id").alias("platform_id"), (F.col("listing_id") * 10).alias("listing_id")).distinct()
+    return images.hydrated(found, ids).select("listing_id", "score")
+
+
+@query("image_store_report", "SELECT CASE WHEN vec_id % 4 = 0 THEN 'floorplan' ELSE 'main' END AS index_kind, label, count(*) AS n, (vec_id % 4 = 0 AND label < 3) OR (vec_id % 4 <> 0 AND label < 9) AS allowed FROM embeddings GROUP BY ALL")
+def _(spark, d):
+    own = ds.table(spark, d, "embeddings").select(F.when(F.col("vec_id") % 4 == 0, "floorplan").otherwise("main").alias("index_kind"), "label")
+    return images.store_report(own, {"floorplan": ["0", "1", "2"], "main": [str(i) for i in range(9)]})
+
+
+@query("image_self_match", "SELECT vec_id AS image_id, TRUE AS ok FROM embeddings WHERE vec_id < 10")
+def _(spark, d):
+    own = _images(spark, d)
+    return images.self_match(own, own.where("image_id < 10"))
+
+
+@query("image_orphans", "SELECT vec_id AS image_id FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)")
+def _(spark, d):
+    return images.orphans(_images(spark, d), ds.table(spark, d, "part").select(F.col("p_partkey").alias("image_id")))
+
+
+@query("crosscheck_hits", f"{ds.L} SELECT v.vec_id AS listing_id, l.listing_id IS NOT NULL AS known, coalesce(price < 1500, FALSE) AS cheap FROM embeddings v LEFT JOIN listings l ON l.listing_id = v.vec_id")
+def _(spark, d):
+    hits = ds.table(spark, d, "embeddings").select(F.col("vec_id").alias("listing_id"))
+    return images.crosscheck(hits, ds.listings(spark, d), {"cheap": F.col("price") < 1500})
+
+
+@query("enrich_geocode_nearest", f"{ds.G}, r AS (SELECT id, target_id, {ds.km('lat', 'lon', 'tlat', 'tlon')} AS k FROM points, landmarks), n AS (SELECT id, min_by(target_id, k) AS t FROM r GROUP BY id) SELECT id AS listing_id, 'city' AS field, landmark AS value FROM n JOIN landmarks ON t = target_id UNION ALL SELECT id, 'canton', 'K' || CAST(target_id AS STRING) FROM n JOIN landmarks ON t = target_id")
+def _(spark, d):
+    towns = ds.landmarks(spark, d).select("target_id", "tlat", "tlon", F.col("landmark").alias("city"), F.concat(F.lit("K"), F.col("target_id").cast("string")).alias("canton"))
+    return enrich.geocoded(ds.points(spark, d), towns, 40.0).select("listing_id", "field", "value")
+
+
+@query("enrich_majority_fill", "WITH c AS (SELECT c_nationkey AS plz, c_mktsegment AS canton, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY ALL), v AS (SELECT plz, canton, row_number() OVER (PARTITION BY plz ORDER BY n DESC, canton) AS rn FROM c) SELECT c_custkey AS listing_id, v.canton AS value FROM customer JOIN v ON plz = c_nationkey WHERE c_custkey % 3 = 0 AND rn = 1")
+def _(spark, d):
+    own = ds.table(spark, d, "customer").select(F.col("c_custkey").alias("listing_id"), F.col("c_nationkey").alias("plz"), F.col("c_mktsegment").alias("canton"))
+    return enrich.voted(own.where("listing_id % 3 = 0").select("listing_id", "plz"), own.where("listing_id % 3 <> 0"), "plz", "canton").select("listing_id", "value")
+
+
+@query("enrich_new_fields_pending", f"{_STATE_SQL} SELECT listing_id, field, source FROM state UNION ALL SELECT listing_id, f, 'UNKNOWN-pending' FROM listings, (SELECT unnest(['cellar', 'kitchen']) AS f)")
+def _(spark, d):
+    return enrich.with_fields(_state(spark, d), ds.listings(spark, d), ["cellar", "kitchen", "price"]).select("listing_id", "field", "source")
+
+
+@query("structured_search_page", f"{ds.L} SELECT listing_id, CAST(0 AS DOUBLE) AS result_score FROM listings WHERE rooms >= 5 ORDER BY price NULLS LAST, listing_id LIMIT 15 OFFSET 5")
+def _(spark, d):
+    spec = FilterSpec(min_rooms=5, sort_by="price_asc", limit=15, offset=5)
+    return search.structured(gate(ds.listings(spark, d), spec), spec).select("listing_id", F.col("result_score").cast("double").alias("result_score"))
+
+
+@query("commute_rows_kept", f"{ds.G}, r AS (SELECT id, target_id, {ds.km('lat', 'lon', 'tlat', 'tlon')} AS k, CASE WHEN id % 3 > 0 THEN id % 50 END AS t FROM points, landmarks) SELECT id, target_id FROM r WHERE k <= 40 AND NOT (t IS NULL AND k > 20)")
+def _(spark, d):
+    rows = sg.distances(ds.points(spark, d), ds.landmarks(spark, d)).withColumn("travel_min", F.when(F.col("id") % 3 > 0, F.col("id") % 50))
+    return sg.commute_rows(rows).select("id", "target_id")
+
+
+@query("landmark_aliases", "SELECT n_name AS name, n_nationkey AS k FROM nation")
+def _(spark, d):
+    n = ds.table(spark, d, "nation")
+    gazetteer = n.select(F.concat(F.lit("key_"), F.col("n_nationkey").cast("string")).alias("key"), F.array(F.initcap("n_name")).alias("aliases"))
+    found = resolve_landmarks(n.select(F.col("n_name").alias("name")), gazetteer)
+    return found.select("name", F.regexp_extract("key", r"(\d+)", 1).cast("int").alias("k"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodefuse.functions.vectors import dot
 from lodefuse.operators import bm25 as lexical
-from lodefuse.operators.ranking import K, rank_by, rrf
+from lodefuse.operators.explain import hard_checks
+from lodefuse.operators.gate import order
+from lodefuse.operators.ranking import K, blended_score, rank_by, rrf
 
 POOL = 300
 
@@ -53,3 +55,34 @@ def hybrid(gated: DataFrame, corpus: DataFrame, columns: list[str], keywords: li
         fused = fused.join(dismissed.select("listing_id"), "listing_id", "left_anti")
     page = fused.orderBy(F.desc(F.round("rrf", 12)), "pool_pos")
     return (page.offset(offset) if offset else page).limit(limit)
+
+
+def structured(gated: DataFrame, spec, scores: DataFrame | None = None) -> DataFrame:
+    """A search without query text: the gated page, scored by BM25 if there are keywords, else 0."""
+    own = gated.join(scores.select("listing_id", F.col("score").alias("bm25")), "listing_id", "left").fillna({"bm25": lexical.NO_MATCH}) if scores is not None else gated.withColumn("bm25", F.lit(lexical.NO_MATCH))
+    keys = [F.asc("bm25"), F.asc("listing_id")] if scores is not None else order(spec)
+    out = own.orderBy(*keys)
+    out = (out.offset(spec.offset) if spec.offset else out).limit(spec.limit if spec.limit is not None else 2**31 - 1)
+    return out.withColumn("result_score", blended_score(F.lit(0.0), F.col("bm25")))
+
+
+def explained(page: DataFrame, spec, signals: DataFrame | None = None, facts: dict[str, Column] | None = None) -> DataFrame:
+    """Attaches hard checks, and soft facts made of signal columns, to a page only: what is ranked isn't explained."""
+    met = page.join(signals, "listing_id", "left") if signals is not None else page
+    soft = F.array(*[F.struct(F.lit(k).alias("axis"), c.alias("level")) for k, c in (facts or {}).items()]) if facts else F.array().cast("array<struct<axis:string,level:string>>")
+    return met.withColumn("checks", hard_checks(spec)).withColumn("facts", soft)
+
+
+def snapshot(channels: dict[str, int], pool_size: int, k: int = K) -> dict:
+    """Which channels took part, with the items each ranked."""
+    return {"channels": sorted(n for n, c in channels.items() if c), "counts": dict(channels), "pool": pool_size, "rrf_k": k}
+
+
+def activated(soft: dict) -> list[str]:
+    """Names of the soft preferences that are on, in a fixed order; a moderate price is none."""
+    names = []
+    for key in ("price", "quiet", "near_transit", "commute_target", "schools", "supermarkets", "parks", "family"):
+        value = soft.get(key)
+        if value and not (key == "price" and value == "moderate"):
+            names.append(key)
+    return names + [f"near_landmark:{x}" for x in soft.get("near_landmark") or []]
