@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefuse.llm import learn
@@ -41,6 +41,8 @@ BOUNDARY, OTHER, ALPHABET = 0, 27, 32
 GRAMS = 20_000
 #: Documents of the sample that must have an n-gram.
 SUPPORT = 4
+#: Evidence (twice a log likelihood ratio) that an n-gram must exceed: chance reaches it once in some hundred thousand.
+EVIDENCE = 20.0
 #: Log ratio that an n-gram must exceed.
 MIN_WEIGHT = math.log(8)
 N = 5
@@ -221,6 +223,13 @@ def _weight(pos, neg, all_pos: float, all_neg: float, log):
     return log((pos + 0.5) / (all_pos + 1)) - log((neg + 0.5) / (all_neg + 1))
 
 
+def _evidence(pos: Column, neg: Column, all_pos: float, all_neg: float) -> Column:
+    """Twice the log likelihood ratio of an n-gram's documents against chance: rare n-grams that meet a label by luck stay low."""
+    share, n = all_pos / (all_pos + all_neg), pos + neg
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    return 2 * (part(pos, share) + part(neg, 1 - share))
+
+
 def _gram_counts(model: np.ndarray):
     """(gram, half, positive, negative) numbers of documents, per task."""
 
@@ -280,8 +289,8 @@ class Model:
         n = {(r["half"], r["y"]): r["count"] for r in own.groupBy("half", "y").count().collect()}
         pos, neg = ([n.get((h, y), 0) for h in (0, 1)] for y in (1.0, 0.0))
         support = max(2, min(SUPPORT, round(sum(pos) / 100)))
-        weight = _weight(F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1"), sum(pos), sum(neg), F.log)
-        best = counts.groupBy("gram").agg(*sums).where(f"pos0 + pos1 >= {support}").withColumn("w", weight).where(f"w > {MIN_WEIGHT}").orderBy(F.desc("w"), F.desc(F.col("pos0") + F.col("pos1")), "gram").limit(GRAMS).collect()
+        both = F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1")
+        best = counts.groupBy("gram").agg(*sums).where(f"pos0 + pos1 >= {support}").withColumn("w", _weight(*both, sum(pos), sum(neg), F.log)).where((F.col("w") > MIN_WEIGHT) & (_evidence(*both, sum(pos), sum(neg)) > EVIDENCE)).orderBy(F.desc("w"), F.desc(F.col("pos0") + F.col("pos1")), "gram").limit(GRAMS).collect()
         self.weights = {r["gram"]: float(r["w"]) for r in best}
         # each half is described by weights of the other, so that the regression sees what new documents look like
         halves = []
