@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodefuse.functions import text as tx
-from lodefuse.functions.vectors import dot, norm
+from lodefuse.functions.vectors import dot, norm, softmax
 from lodefuse.operators import audit, bm25, diversify, enrich, entities, explain, images, memory, ranking
 from lodefuse.operators import signals as sg
 from lodefuse.operators.gate import FilterSpec, gate, map_points, page, resolve_landmarks
@@ -821,3 +821,24 @@ def _(spark, d):
     gazetteer = n.select(F.concat(F.lit("key_"), F.col("n_nationkey").cast("string")).alias("key"), F.array(F.initcap("n_name")).alias("aliases"))
     found = resolve_landmarks(n.select(F.col("n_name").alias("name")), gazetteer)
     return found.select("name", F.regexp_extract("key", r"(\d+)", 1).cast("int").alias("k"))
+
+
+@query("txt_html_parsed")
+def _(spark, d):
+    return ds.table(spark, d, "pages").select("page_id", F.length(tx.html_parsed(F.col("html"))).alias("n"))
+
+
+@query("project_api_row", f"{ds.L} SELECT listing_id, CAST(round_even(price, 0) AS INT) AS price, CAST(round_even(area / 7.0, 0) AS INT) AS area, feature_balcony = 1 AS balcony FROM listings")
+def _(spark, d):
+    return ds.listings(spark, d).select("listing_id", F.bround("price", 0).cast("int").alias("price"), F.bround(F.col("area") / 7, 0).cast("int").alias("area"), (F.col("feature_balcony") == 1).alias("balcony"))
+
+
+@query("txt_tri_state_merge", f"{ds.L} SELECT listing_id, CASE WHEN feature_balcony = 1 OR feature_elevator = 1 OR feature_parking = 1 THEN 1 WHEN feature_balcony = 0 OR feature_elevator = 0 OR feature_parking = 0 THEN 0 END AS any_feature FROM listings")
+def _(spark, d):
+    return ds.listings(spark, d).select("listing_id", tx.tri_state(F.col("feature_balcony"), F.col("feature_elevator"), F.col("feature_parking")).alias("any_feature"))
+
+
+@query("vec_softmax", "WITH l AS (SELECT vec_id, list_transform(range(1, 5), lambda i: CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings), e AS (SELECT vec_id, list_transform(a, lambda x: exp((x - list_max(a)) * 10)) AS p FROM l) SELECT vec_id, round(list_max(list_transform(p, lambda x: x / list_sum(p))), 9) AS top FROM e")
+def _(spark, d):
+    a = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    return ds.table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(softmax(a, 10.0)), 9).alias("top"))

@@ -124,3 +124,15 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {(r.user_id, r.listing_id): r.weight for r in memory.weights(batch).collect()}[1, "a"] == 0.0
     limited = interactions.rate_limited(spark.createDataFrame([(i, 1, "", "", 0.0, t(i)) for i in range(8)], schema), 3, 300)
     assert [r.tries for r in limited.orderBy("id").collect()] == [1, 2, 3, 4, 5, 5, 5, 5]
+
+
+def test_html_parser_form(spark):
+    assert values(spark, ["a &amp; b", "<p>a &amp; b</p><script>x</script>", None, ""], tx.html_parsed) == ["a &amp; b", "a & bx", None, ""]
+
+
+def test_triage_leans_to_what_is_kept(spark):
+    from lodefuse.functions.vectors import triage
+
+    labels, keep = ["inside", "outside", "logo"], {"inside", "outside"}
+    df = spark.createDataFrame([([0.30, 0.1, 0.1],), ([0.1, 0.2, 0.201],), ([0.1, 0.1, 0.3],)], "s array<double>")
+    assert [r.v for r in df.select(triage(labels, F.col("s"), keep).alias("v")).collect()] == ["inside", "outside", "logo"]
