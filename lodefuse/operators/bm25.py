@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodefuse.functions.text import fold
@@ -31,29 +31,41 @@ def phrases(keywords: list[str]) -> list[list[str]]:
     return [f for f in found if f]
 
 
+def _counts(column: Column, wanted: list[list[str]]) -> Column:
+    """struct(n, tf): a text's tokens, and how often each phrase stands in it. Tokens are made once."""
+    found = F.regexp_extract_all(F.coalesce(fold(column), F.lit("")), F.lit(TOKEN), F.lit(1))
+
+    def tf(t: Column, phrase: list[str]) -> Column:
+        if len(phrase) == 1:
+            return F.size(F.filter(t, lambda x: x == phrase[0]))
+        here = lambda x, i: reduce(lambda a, j: a & (F.get(t, i + j) == phrase[j]), range(1, len(phrase)), x == phrase[0])
+        return F.size(F.filter(t, lambda x, i: F.coalesce(here(x, i), F.lit(False))))
+
+    made = F.transform(F.array(found), lambda t: F.struct(F.size(t).alias("n"), F.array(*[tf(t, p) for p in wanted]).alias("tf")))
+    return F.element_at(made, 1)
+
+
 def score(df: DataFrame, key: str, columns: list[str], keywords: list[str]) -> DataFrame:
     """(key, score) of documents that match any keyword; more negative is better. Statistics are of the whole corpus.
 
-    Only the query's terms are kept as postings; documents' lengths come from the same pass.
+    Two scans: one for the statistics, a single row, and one for the documents that match. Nothing is shuffled by term.
     """
     wanted = phrases(keywords)
-    size = reduce(lambda a, b: a + b, [F.size(F.regexp_extract_all(F.coalesce(fold(F.col(c)), F.lit("")), F.lit(TOKEN), F.lit(1))) for c in columns])
-    lengths = df.select(F.col(key), size.alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     if not wanted:
-        return lengths.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
-    terms = sorted({t for p in wanted for t in p})
-    postings = tokens(df, key, columns).where(F.col("term").isin(terms))
-    hits = []
-    for i, phrase in enumerate(wanted):
-        own = postings.where(F.col("term") == phrase[0]).select(key, "col", F.col("pos").alias("p0"))
-        for j, term in enumerate(phrase[1:], 1):  # positions chain within a column
-            follows = postings.where(F.col("term") == term).select(key, "col", (F.col("pos") - j).alias("p0"))
-            own = own.join(follows, [key, "col", "p0"], "left_semi")
-        hits.append(own.groupBy(key).agg(F.count("*").alias("tf")).withColumn("phrase", F.lit(i)))
-    tf = reduce(DataFrame.unionByName, hits)
-    df_ = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    known = tf.join(F.broadcast(df_), "phrase").join(lengths, key).crossJoin(F.broadcast(stats))  # a row each phrase, and one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return known.groupBy(key).agg((-F.sum(part)).alias("score"))
+        return df.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    own = df.select(F.col(key), *[_counts(F.col(c), wanted).alias(f"c{i}") for i, c in enumerate(columns)])
+    total = lambda pick: reduce(lambda a, b: a + b, [pick(F.col(f"c{i}")) for i in range(len(columns))])
+    rows = own.select(key, total(lambda c: c["n"]).alias("dl"), F.array(*[total(lambda c, p=p: c["tf"][p]) for p in range(len(wanted))]).alias("tf"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(F.col("tf")[p] > 0) for p in range(len(wanted))]).alias("df"))
+    hits = rows.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
+
+    def part(p: int) -> Column:
+        f, d = F.col("tf")[p], F.col("df")[p]
+        idf = F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(LEAST_IDF))
+        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+
+    return hits.select(key, (-total_of([part(p) for p in range(len(wanted))])).alias("score"))
+
+
+def total_of(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
