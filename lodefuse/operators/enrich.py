@@ -86,7 +86,7 @@ def disagreements(a: DataFrame, b: DataFrame, field: str) -> DataFrame:
     return pick(a, "left").join(pick(b, "right"), "listing_id").where(F.lower("left") != F.lower("right"))
 
 
-def geocoded(points: DataFrame, towns: DataFrame, first_km: float = 5.0) -> DataFrame:
+def geocoded(points: DataFrame, towns: DataFrame, first_km: float | None = None) -> DataFrame:
     """Proposals for city and canton from the nearest town (target_id, tlat, tlon, city, canton) of each point (id, lat, lon)."""
     near = nearest(points, towns.select("target_id", "tlat", "tlon"), first_km).join(towns.select("target_id", "city", "canton"), "target_id")
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(c).alias("sure")) for f, c in (("city", 0.9), ("canton", 0.95))])

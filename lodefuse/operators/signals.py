@@ -69,10 +69,23 @@ def radius_count(points: DataFrame, targets: DataFrame, radius_km: float) -> Dat
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, first_km: float = 5.0, rounds: int = 12) -> DataFrame:
-    """(id, target_id, dist_km): the nearest target, the least id of equals; rings double until every point has one."""
+def _typical_km(targets: DataFrame) -> float:
+    """A radius within which evenly spread targets would leave few points without one."""
+    import math
+
+    box = targets.agg(F.count("*").alias("n"), (F.max("tlat") - F.min("tlat")).alias("h"), (F.max("tlon") - F.min("tlon")).alias("w")).first()
+    if not box["n"]:
+        return 20_200.0
+    return min(5_000.0, max(1.0, 2 * DEGREE_KM * math.sqrt(max(box["h"] or 0.0, 0.01) * max(box["w"] or 0.0, 0.01) / box["n"])))
+
+
+def nearest(points: DataFrame, targets: DataFrame, first_km: float | None = None, rounds: int = 12) -> DataFrame:
+    """(id, target_id, dist_km): the nearest target, the least id of equals; rings widen until every point has one.
+
+    The first ring is as wide as the targets' density suggests, unless given.
+    """
     left, out = points.where("lat IS NOT NULL AND lon IS NOT NULL"), []
-    radius = first_km
+    radius = first_km or _typical_km(targets)
     for _ in range(rounds):
         found = within(left, targets, radius).groupBy("id").agg(F.min(F.struct("dist_km", "target_id")).alias("m")).select("id", "m.target_id", "m.dist_km")
         out.append(found)

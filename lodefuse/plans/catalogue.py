@@ -130,7 +130,7 @@ def _(spark, d):
 
 @query("join_nearest_k1", f"{ds.G}, r AS (SELECT id, target_id, {ds.km('lat', 'lon', 'tlat', 'tlon')} AS k FROM points, stops) SELECT id, min_by(target_id, k) AS target_id, round(min(k), 6) AS dist_km FROM r GROUP BY id")
 def _(spark, d):
-    return sg.nearest(ds.points(spark, d), ds.stops(spark, d), 20.0).select("id", "target_id", F.round("dist_km", 6).alias("dist_km"))
+    return sg.nearest(ds.points(spark, d), ds.stops(spark, d)).select("id", "target_id", F.round("dist_km", 6).alias("dist_km"))
 
 
 @query("join_radius_count", f"{ds.G} SELECT id, count(*) FILTER (WHERE {ds.km('lat', 'lon', 'tlat', 'tlon')} <= 30) AS n FROM points, stops GROUP BY id")

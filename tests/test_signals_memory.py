@@ -36,6 +36,8 @@ def test_spatial_joins_equal_brute_force(spark):
     p = spark.createDataFrame(points, "id long, lat double, lon double")
     t = spark.createDataFrame(targets, "target_id long, tlat double, tlon double")
     near = {r.id: (r.target_id, r.dist_km) for r in signals.nearest(p, t, 3.0).collect()}
+    assert near == {r.id: (r.target_id, r.dist_km) for r in signals.nearest(p, t).collect()}
+    assert signals.nearest(p, t.limit(0)).count() == 0
     counts = {r.id: r.n for r in signals.radius_count(p, t, 35.0).collect()}
     for i, lat, lon in points[:-1]:
         all_ = sorted((haversine(lat, lon, a, b), k) for k, a, b in targets)
