@@ -149,13 +149,15 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares each run with the base run of its anchor: windows that both have, and those left over.
 
     `first` is how far the anchor lies behind the run's first window, so equal places around
-    the anchor have equal differences of place and `first`.
+    the anchor have equal differences of place and `first`. What the base's own document has
+    again is dropped if the base is the anchor's smallest document (`final`), as no smaller one
+    can hold it then; otherwise it is left over like windows that differ.
     """
     names = ["doc_id", "digest", "anchor", "start", "length", "offset", "left"]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
         own, base = batch.column("hashes"), batch.column("base_hashes")
-        for k, (anchor, doc_id, digest, at, first, base_id, base_first) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("anchor", "doc_id", "digest", "at", "first", "base_id", "base_first")], strict=True)):
+        for k, (anchor, doc_id, digest, at, first, base_id, base_first, final) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("anchor", "doc_id", "digest", "at", "first", "base_id", "base_first", "final")], strict=True)):
             mine, other = np.asarray(own[k].values), np.asarray(base[k].values)
             lo = max(0, first - base_first)  # places of mine that the base has too
             hi = min(len(mine), first - base_first + len(other))
@@ -163,11 +165,13 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hi > lo:
                 shift = base_first - first
                 equal[lo:hi] = mine[lo:hi] == other[lo + shift : hi + shift]
+            if doc_id == base_id and not final:
+                equal[:] = False  # a smaller document may still hold what both places do
             cuts = [0, *(np.flatnonzero(equal[1:] != equal[:-1]) + 1).tolist(), len(mine)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 hit = bool(equal[a])
                 if hit and doc_id == base_id:
-                    continue  # another place in the same document: the base run stands for it
+                    continue  # another place in the smallest document: nothing smaller holds it
                 for column, value in zip(rows, (doc_id, digest, anchor, at + a, b - a if hit else 0, first - a, None if hit else mine[a:b].tolist()), strict=True):
                     column.append(value)
         if rows[0]:
@@ -220,7 +224,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
         base = base.select(*key, F.col("b.doc_id").alias("base_id"), F.col("b.digest").alias("base_digest"), F.col("b.at").alias("base_at"), F.col("b.first").alias("base_first"), F.col("b.hashes").alias("base_hashes"))
         base = saved(base, "base")  # so that the join below deals both sides itself and splits what a frequent anchor holds
         met = runs.join(base, key).where("NOT (doc_id = base_id AND at = base_at AND digest = base_digest)")
-        extended = saved(met.select("anchor", "doc_id", "digest", "at", "first", "hashes", "base_id", "base_first", "base_hashes").mapInArrow(_extended, "doc_id long, digest binary, anchor long, start long, length long, offset int, left array<long>"), "extended")
+        extended = saved(met.select("anchor", "doc_id", "digest", "at", "first", "hashes", "base_id", "base_first", "base_hashes", F.lit(n == 0).alias("final")).mapInArrow(_extended, "doc_id long, digest binary, anchor long, start long, length long, offset int, left array<long>"), "extended")
         matched.append(extended.where("length > 0").select("doc_id", "digest", "start", "length"))
         runs = extended.where("left IS NOT NULL").select("anchor", "doc_id", "digest", F.col("start").alias("at"), F.col("offset").alias("first"), F.col("left").alias("hashes"))
     rest = functools.reduce(DataFrame.unionByName, kept, runs)

@@ -54,6 +54,24 @@ def test_against_brute_force(spark):
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows, window)
 
 
+def test_passage_twice_in_a_document_and_its_anchor_line_in_a_smaller_one(spark):
+    window, gram = 12, 4
+    rng = random.Random(11)
+    rows = []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    words = lambda n: [word() for _ in range(n)]
+    for k in range(40):
+        line, before, after = words(6), words(rng.randint(3, 10)), words(rng.randint(3, 10))
+        passage, start = before + line + after, words(8)
+        one = words(10) + line + words(10)
+        two = words(rng.randint(0, 9)) + passage + words(rng.randint(0, 9))
+        three = words(3) + start + passage + words(rng.randint(0, 20)) + start + passage + words(2)
+        rows += [(3 * k + i, " ".join(x)) for i, x in enumerate((one, two, three))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.deduplicated(docs, window, gram).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows, window)
+
+
 def test_long_documents_in_stretches(monkeypatch):
     words = [b"%d" % (i * i % 97) for i in range(500)]
     whole = [(w, int(g[p])) for _, ws, g, ps in substrings.stretches(words, 20, 5) for w, p in zip(ws.tolist(), ps.tolist(), strict=True)]
