@@ -419,6 +419,30 @@ def _(spark, d):
     return fused.select("listing_id", F.round("rrf", 9).alias("rrf")).orderBy(F.desc("rrf"), "listing_id").limit(10)
 
 
+#: R6 as a whole: images of all listings, the texts' and the features' best 500 of all.
+_LOOKALIKES = f"""{ds.L}, img AS (SELECT listing_id, row_number() OVER (ORDER BY s DESC, listing_id) AS r FROM (SELECT e.vec_id // 5 AS listing_id, max({_dot('e.embedding', 'q.embedding')}) AS s FROM embeddings e, embeddings q WHERE q.vec_id = 20 GROUP BY 1) WHERE listing_id <> 4),
+txt AS (SELECT e.vec_id AS listing_id, row_number() OVER (ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id = 4 AND e.vec_id <> 4 QUALIFY r <= 500),
+fs AS (SELECT o.listing_id, coalesce(CAST(o.canton = b.canton AS DOUBLE), 0) * 2 + coalesce(CAST(o.object_category = b.object_category AS DOUBLE), 0) * CAST(0.5 AS DOUBLE) + CASE WHEN b.rooms IS NOT NULL AND b.price IS NOT NULL AND b.price <> 0 THEN coalesce(CAST(1 AS DOUBLE) / (1 + abs(o.rooms - b.rooms)), 0) + coalesce(CAST(1 AS DOUBLE) / (1 + abs(o.price - b.price) / b.price), 0) ELSE 0 END AS s FROM listings o, listings b WHERE b.listing_id = 4 AND o.listing_id <> 4),
+feat AS (SELECT listing_id, row_number() OVER (ORDER BY s DESC, listing_id) AS r FROM fs QUALIFY r <= 500)
+SELECT listing_id, round(sum(1.0 / (60 + r)), 9) AS rrf FROM (SELECT * FROM img UNION ALL SELECT * FROM txt UNION ALL SELECT * FROM feat) GROUP BY 1 ORDER BY rrf DESC, listing_id LIMIT 10"""
+
+
+@query("fused_lookalikes_whole", _LOOKALIKES)
+def _(spark, d):
+    v = ds.table(spark, d, "embeddings")
+    listings = ds.listings(spark, d)
+    best = lambda scored: scored.orderBy(F.desc("score"), "listing_id").limit(500).withColumn("pool_pos", F.col("listing_id"))
+    images = v.select(F.expr("vec_id DIV 5").alias("listing_id"), F.col("vec_id").alias("image_id"), "embedding")
+    img = search.best_per_listing(images, v.where("vec_id = 20")).where("listing_id <> 4").withColumn("pool_pos", F.col("listing_id"))
+    q = F.broadcast(v.where("vec_id = 4").select(F.col("embedding").alias("q")))
+    txt = best(v.where("vec_id <> 4").crossJoin(q).select(F.col("vec_id").alias("listing_id"), dot(F.col("embedding"), F.col("q")).alias("score")))
+    base = F.broadcast(listings.where("listing_id = 4").select(*[F.col(c).alias(f"base_{c}") for c in ("canton", "object_category", "rooms", "price")]))
+    like = ranking.feature_similarity(F.col("canton") == F.col("base_canton"), F.col("object_category") == F.col("base_object_category"), F.col("rooms"), F.col("base_rooms"), F.col("price"), F.col("base_price"))
+    feat = best(listings.where("listing_id <> 4").crossJoin(base).select("listing_id", like.alias("score")))
+    fused = ranking.rrf([ranking.rank_by(x, n, F.col("score"), True) for n, x in (("image", img), ("text", txt), ("feature", feat))])
+    return fused.select("listing_id", F.round("rrf", 9).alias("rrf")).orderBy(F.desc("rrf"), "listing_id").limit(10)
+
+
 # --- soft rankings
 
 
