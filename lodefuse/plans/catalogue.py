@@ -555,6 +555,22 @@ def _(spark, d):
     return memory.demoted(pool, v, v.where("listing_id IN (3, 50, 120)").select("listing_id"), False)
 
 
+@query("mem_semantic_taste_whole", f"WITH p AS (SELECT list(m ORDER BY i) AS v FROM ({_CENTROID}) WHERE label = 1), n AS (SELECT list(m ORDER BY i) AS v FROM ({_CENTROID}) WHERE label = 2), q AS (SELECT list_transform(range(1, 65), lambda i: p.v[i] - 0.5 * n.v[i]) AS q FROM p, n) SELECT vec_id AS listing_id, round({_dot('embedding', 'q')} / sqrt({_dot('q', 'q')}), 9) AS score FROM embeddings, q")
+def _(spark, d):
+    v = ds.vectors(spark, d)
+    own = lambda n: v.where(F.col("label") == n).select("listing_id")
+    return memory.semantic_taste(v, v, own(1), own(2)).withColumn("score", F.round("score", 9))
+
+
+@query("mem_dismissal_demotion_whole", f"WITH pool AS (SELECT e.vec_id AS listing_id, e.embedding, row_number() OVER (ORDER BY -{_dot('e.embedding', 'q.embedding')}, e.vec_id) AS pool_pos FROM embeddings e, embeddings q WHERE q.vec_id = 7 QUALIFY pool_pos <= 300), bad AS (SELECT embedding AS b FROM embeddings WHERE vec_id IN (3, 50, 120)), s AS (SELECT listing_id, pool_pos, listing_id IN (3, 50, 120) OR max({_dot('embedding', 'b')}) > 0.85 AS sunken FROM pool, bad GROUP BY 1, 2) SELECT listing_id, pool_pos, sunken, CAST(row_number() OVER (ORDER BY sunken, pool_pos) AS INT) AS place FROM s")
+def _(spark, d):
+    v = ds.vectors(spark, d)
+    q = F.broadcast(v.where("listing_id = 7").select(F.col("embedding").alias("q")))
+    scores = v.crossJoin(q).select("listing_id", (-dot(F.col("embedding"), F.col("q"))).alias("score"))
+    pool = search.pool(v.select("listing_id"), scores, search.POOL)  # the best 300 of all
+    return memory.demoted(pool, v, v.where("listing_id IN (3, 50, 120)").select("listing_id"), False)
+
+
 @query("default_feed", f"{_PRICE_SQL}, pool AS (SELECT *, row_number() OVER (ORDER BY listing_id) AS pos FROM (SELECT listing_id, price FROM listings ORDER BY listing_id LIMIT 400)), r AS (SELECT listing_id, row_number() OVER (ORDER BY -abs(ln(price) - mu) / greatest(sigma, 0.05) DESC, pos) AS r FROM pool, ps WHERE user_id = 5 AND price > 0) SELECT listing_id, round(coalesce(1.0 / (60 + r), 0), 9) AS rrf FROM pool LEFT JOIN r USING (listing_id) ORDER BY coalesce(1.0 / (60 + r), 0) DESC, pos LIMIT 20")
 def _(spark, d):
     own = search.pool(ds.listings(spark, d).select("listing_id", "price"), None, 400)
@@ -799,6 +815,12 @@ def _(spark, d):
     return images.self_match(own, own.where("image_id < 10"))
 
 
+@query("image_self_match_whole", f"SELECT image_id, vec_id = image_id AS ok FROM (SELECT q.vec_id AS image_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE r = 1")
+def _(spark, d):
+    own = _images(spark, d)
+    return images.self_match(own, own.where("image_id % 50 = 0"))
+
+
 @query("image_orphans", "SELECT vec_id AS image_id FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)")
 def _(spark, d):
     return images.orphans(_images(spark, d), ds.table(spark, d, "part").select(F.col("p_partkey").alias("image_id")))

@@ -27,3 +27,12 @@ def test_lookalikes_rank_all_texts_and_features(spark):
     got, want = both(spark, "fused_lookalikes_whole")
     assert got == want and len(got) == 10
     assert got != both(spark, "fused_lookalikes")[0]
+
+
+def test_memory_and_self_match_see_all_vectors(spark):
+    n = ds.table(spark, HERE, "embeddings").count()
+    for name, rows in (("mem_semantic_taste_whole", n), ("mem_dismissal_demotion_whole", min(n, 300)), ("image_self_match_whole", -(-n // 50))):
+        got, want = both(spark, name)
+        assert got == want and len(got) == rows
+    assert n > 300
+    assert catalogue.queries()["mem_dismissal_demotion_whole"](spark, HERE).where("listing_id >= 200").count() > 0
