@@ -36,3 +36,18 @@ def test_memory_and_self_match_see_all_vectors(spark):
         assert got == want and len(got) == rows
     assert n > 300
     assert catalogue.queries()["mem_dismissal_demotion_whole"](spark, HERE).where("listing_id >= 200").count() > 0
+
+
+def test_slug_folds_whole_texts_of_all_documents(spark):
+    from lodefuse.functions import text as tx
+
+    table = str.maketrans(dict(zip(tx.ACCENTED, tx.FOLDED, strict=True)))
+
+    def plain(text):
+        own = (text or "").strip(" ")
+        return "".join(c for c in own.lower().translate(table) if ord(c) < 128) if own else None
+
+    docs = {r.doc_id: plain(r.text) for r in ds.table(spark, HERE, "documents").collect()}
+    got = catalogue.queries()["txt_slug_fold_whole"](spark, HERE).collect()
+    assert {r.doc_id: r.folded for r in got} == docs and len(got) == len(docs)
+    assert max(len(x or "") for x in docs.values()) > 40
