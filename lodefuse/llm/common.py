@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where none is set and all runs on this machine."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='lodefuse-')}")
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -69,6 +73,19 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `most` bytes of text, or of a single longer text: what a worker holds doesn't depend on batches."""
+    for batch in batches:
+        own = batch.column(name)
+        sizes = own.cast(pa.large_binary()) if own.type != pa.large_binary() else own
+        ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def slim(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, so that extra ones, whatever their names, never clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -5,14 +5,15 @@ free space in a bitset, so the tightest bin that still takes a piece is one shif
 lowest-set-bit away. When a bin too many is open, the fullest closes.
 
 Documents are tokenized in Arrow batches; only the description of each piece (some 40 bytes)
-is shuffled, never text. Pieces go to groups of about ``GROUP_TOKENS`` tokens by a hash, so
-no key decides the size of a group and the groups grow in number with the input; within a
-group pieces arrive longest first, which makes best fit nearly perfect.
+is shuffled, never text. Pieces are dealt at random, each row for itself, to groups of about
+``GROUP_TOKENS`` tokens, so no key decides the size of a group and the groups grow in number
+with the input; a group is a stream in random order, and each piece is placed as it comes.
 
 Edge cases: null and empty texts are a document of the single end token; documents longer
-than a sequence are cut into full pieces and a last one; repeated rows are packed as often
-as they come; an empty table gives an empty result; a null doc_id is kept as null. Other
-columns are ignored, whatever their names.
+than a sequence are cut into full pieces and a last one, however long they are; repeated rows
+are packed as often as they come, each dealt for itself; of bins that are equally full the
+one opened or filled last takes the piece or closes; an empty table gives an empty result; a
+null doc_id is kept as null. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +30,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefuse.llm.common import saved, slim, table
+from lodefuse.llm.common import parts, saved, slim, table
 
 SEQ_LEN = 2048
-#: Tokens of one packing group: 2,048 full sequences, so a group's last open bins waste next to nothing.
-GROUP_TOKENS = 1 << 22
+#: Tokens of one packing group: some 8,000 sequences, beside which its open bins' space is little.
+GROUP_TOKENS = 1 << 24
 #: Pieces of one packing group at most, for corpora of tiny documents.
-GROUP_PIECES = 1 << 17
+GROUP_PIECES = 1 << 18
 #: Bins a packer holds open.
-OPEN_BINS = 1 << 16
-#: Runs of letters whose ids a Python worker remembers.
-CACHE_WORDS = 500_000
+OPEN_BINS = 256
+#: Runs of letters whose ids a Python worker remembers, and how long they may be.
+CACHE_WORDS, LONGEST = 50_000, 64
+#: Bytes of text that are tokenized at once.
+TEXT_BYTES = 4 << 20
 
 _loaded: dict = {}
 
@@ -170,15 +173,18 @@ class WordTokenizer:
         """The ids of distinct words."""
         found = pc.extract_regex(words, self.PLAIN)
         letters, marks = found.field("letters").dictionary_encode(), found.field("marks").dictionary_encode()
-        known = self.letters
-        if len(known) > self.cache_words:
-            known.clear()
         runs = letters.dictionary.to_pylist()
-        new = [r for r in runs if r not in known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            known.update(zip(some, self.merges.ids([r.lower() if r.isascii() else "".join(map(self.names.get, r.lower().encode())) for r in some]), strict=True))
-        first = [known[r] for r in runs]
+        first = [self.letters.get(r) for r in runs]
+        new = [i for i, ids in enumerate(first) if ids is None]
+        for at in range(0, len(new), 10_000):
+            some = [runs[i] for i in new[at : at + 10_000]]
+            made = self.merges.ids([r.lower() if r.isascii() else "".join(map(self.names.get, r.lower().encode())) for r in some])
+            for i, r, ids in zip(new[at:], some, made, strict=False):
+                first[i] = ids
+                if len(r) <= LONGEST:
+                    if len(self.letters) >= self.cache_words:
+                        self.letters.clear()
+                    self.letters[r] = ids
         second = self._whole(marks.dictionary.to_pylist())
         plain = found.is_valid().to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(words)
@@ -210,7 +216,7 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer)
-        for batch in batches:
+        for batch in parts(batches, TEXT_BYTES):
             rows: list[list] = [[] for _ in schema]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.batch(batch.column("text").cast(pa.string())), strict=True):
                 ids += end
@@ -269,8 +275,9 @@ def pack(found: DataFrame, seq_len: int = SEQ_LEN, group_tokens: int = GROUP_TOK
     total = found.agg(F.sum("length").alias("t"), F.count("*").alias("n")).first()
     groups = max(1, math.ceil((total["t"] or 0) / group_tokens), math.ceil(total["n"] / group_pieces))
     columns = found.columns
-    dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start", "ids_crc32")
+    row = F.xxhash64(F.monotonically_increasing_id(), "doc_id", "start", "ids_crc32")  # of a stored table: a repeated task numbers its rows alike
+    dealt = found.withColumn("order", row).withColumn("group", F.pmod(F.shiftrightunsigned("order", 20), F.lit(groups)))
+    dealt = dealt.repartitionByRange(groups, "group").sortWithinPartitions("group", "order", "doc_id", "start", "ids_crc32")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, packer = None, None

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodefuse.llm.common import fresh, saved, slim, table, texts
+from lodefuse.llm.common import fresh, parts, saved, slim, table, texts
 from lodefuse.llm.components import components
 
 RADIUS = 2
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint's 64 bits as a long."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fps = np.array([fingerprint(t, shingle) for t in texts(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -80,36 +80,43 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 class Planes:
-    """Bit planes of up to LANES fingerprints."""
+    """Bit planes of a block of fingerprints: plane b holds bit b of every lane."""
 
-    def __init__(self, fps: np.ndarray):
-        bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    def __init__(self, rows: np.ndarray):
+        """rows: a fingerprint's bytes a row, bit i first in byte i // 8."""
+        bits = np.unpackbits(rows, axis=1, bitorder="little")
         packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-        self.all = (1 << len(fps)) - 1
+        self.all = (1 << len(rows)) - 1
         self.planes = [int.from_bytes(row.tobytes(), "little") for row in packed]
 
+    def folded(self) -> Planes:
+        """The planes of fingerprints whose upper half is added, bit by bit, to the lower."""
+        out, half = object.__new__(Planes), len(self.planes) // 2
+        out.all, out.planes = self.all, [x ^ y for x, y in zip(self.planes[:half], self.planes[half:], strict=True)]
+        return out
+
     def near(self, fp: int, among: int, radius: int = RADIUS) -> int:
         """The lanes of `among` within the radius of fp, as a bit mask."""
-        over = self.all & ~among
-        counters = [0] * (radius + 1).bit_length()
-        top = [i for i in range(len(counters)) if (radius + 1) >> i & 1]
-        for b, plane in enumerate(self.planes):
-            carry = (plane ^ self.all) if fp >> b & 1 else plane  # lanes that differ here
-            for i, c in enumerate(counters):
-                counters[i], carry = c ^ carry, c & carry
-            beyond = carry
-            reached = self.all
-            for i in top:
-                reached &= counters[i]
-            over |= beyond | reached
-            if over == self.all:
-                return 0  # every lane of the block exceeds the radius
+        over, n = self.all & ~among, (radius + 1).bit_length()
+        counters = [self.all if ((1 << n) - radius - 1) >> i & 1 else 0 for i in range(n)]  # a carry out is a distance beyond the radius
+        for bit, plane in zip(f"{fp:0{len(self.planes)}b}"[::-1], self.planes, strict=True):
+            carry = plane ^ self.all if bit == "1" else plane  # lanes that differ here
+            for i in range(n):
+                c = counters[i]
+                counters[i] = c ^ carry
+                carry &= c
+                if not carry:
+                    break
+            if carry:
+                over |= carry
+                if over == self.all:
+                    return 0  # every lane of the block exceeds the radius
         return self.all & ~over
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS, lanes: int = LANES) -> list[tuple[int, int]]:
     """(root, member) index pairs that span the components of fps at the radius."""
-    blocks = [(at, Planes(fps[at : at + lanes])) for at in range(0, len(fps), lanes)]
+    blocks = [(at, Planes(fps[at : at + lanes].astype("<u8").view(np.uint8).reshape(-1, 8))) for at in range(0, len(fps), lanes)]
     left = [p.all for _, p in blocks]
     values = [int(x) for x in fps.astype(np.uint64)]
     out = []
@@ -207,7 +214,7 @@ def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fps = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, name])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefuse.llm.common import saved, slim, table, texts
+from lodefuse.llm.common import parts, saved, slim, table, texts
 
 WINDOW = 50
 GRAM = 10
@@ -104,7 +104,7 @@ def _seeds(window: int, gram: int):
     names = ["doc_id", "digest", "n_words", "kept_sha256", "anchors"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             digests, n_words, shas, anchors = [], [], [], []
             for text in texts(batch):
                 words = text.split()  # of bytes: the six ASCII white-space characters
@@ -125,7 +125,7 @@ def _runs(window: int, gram: int):
     names = ["anchor", "doc_id", "digest", "at", "first", "hashes"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows: list[list] = [[] for _ in names]
             shared_lists = batch.column("anchors")
             for k, (doc_id, digest, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), texts(batch), strict=True)):
@@ -183,7 +183,7 @@ def _cut(window: int):
     names = ["doc_id", "digest", "n_removed", "kept_sha256", "kept"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows: list[list] = [[] for _ in names]
             for doc_id, digest, text, repeats in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), texts(batch), batch.column("repeats").to_pylist(), strict=True):
                 words = text.split()
@@ -239,7 +239,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the texts whose word sequence has the digest they were looked up by."""
-    for batch in batches:
+    for batch in parts(batches):
         keep = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() == d for t, d in zip(texts(batch), batch.column("digest").to_pylist(), strict=True)]
         yield batch.select(["doc_id", "digest", "text", "anchors"]).filter(pa.array(keep, pa.bool_()))
 

@@ -1,27 +1,30 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Written words are taken as noisy spellings: symbols and digits for letters, letters drawn out
-or doubled, words spaced or dotted out letter by letter. Each suspicious stretch becomes a
-lattice of the letters that each place may stand for, with channel costs, and Viterbi finds
-the cheapest path under a character trigram model counted over the whole corpus. A plain
-word's lattice is a single path, so it is its own decoding and skips the search.
+or doubled, words spaced or dotted out letter by letter. Each becomes a lattice of the letters
+that each place may stand for, with channel costs, and Viterbi finds the cheapest path under a
+character trigram model counted over the whole corpus. Every word with a letter whose lattice
+has more than one path is decoded, wherever the symbol or the doubled letter stands; any other
+word is its own decoding. Words are decoded once, as long as a worker remembers them.
 
 Restored words are scored by character n-grams (word-bounded) that labelled documents tell
 apart, and documents by a logistic regression over what those words add up to. N-gram
 weights come from the labelled sample, and the regression from its halves, each described by
 weights of the other.
 
-The sample is bounded by ``learn.SAMPLE_ROWS``; the language model counts all documents. Both
-tables that travel have bounds of their own: 32**3 trigram counts and ``GRAMS`` weights.
+The sample is bounded by ``learn.SAMPLE_ROWS``, and with it the n-grams that show evidence, all
+of which are kept; the language model counts all documents (32**3 trigram counts travel).
 
 Edge cases: null and empty texts get the score of a text without signals; without labels of
-both classes every score is the known share of label 1, or 0; repeated rows score alike; an
+both classes every score is the known share of label 1, or 0; repeated rows score alike; very
+long texts and words are decoded whole; of equally cheap readings the first listed holds; an
 empty table gives no rows; a null doc_id is held out of nothing and scored as any other.
 Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -33,14 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefuse.llm import learn
-from lodefuse.llm.common import saved, slim, table, texts
+from lodefuse.llm.common import parts, saved, slim, table, texts
 
 #: Letters of the language model: word boundary, a to z, any other letter.
 BOUNDARY, OTHER, ALPHABET = 0, 27, 32
-#: N-gram weights that are kept at most.
-GRAMS = 20_000
-#: Documents of the sample that must have an n-gram.
-SUPPORT = 4
+#: Words that a worker remembers, and how long they may be.
+REMEMBER, LONGEST = 100_000, 64
+#: Documents of half the sample that must have an n-gram for its weight there.
+SUPPORT = 2
 #: Evidence (twice a log likelihood ratio) that an n-gram must exceed: chance reaches it once in some hundred thousand.
 EVIDENCE = 20.0
 #: Log ratio that an n-gram must exceed.
@@ -50,15 +53,18 @@ THRESHOLD = 0.5
 
 #: What a symbol may stand for, besides nothing.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "&": "a", "%": "o"}
-#: Costs, in nats, of a symbol for a letter, of dropping a letter of a run, and of a separator between spaced letters.
+#: Symbols that often close a word and mean nothing then.
+CLOSING = "!*#%&|"
+#: Costs, in nats, of a symbol for a letter, of dropping a letter of a run, and of a separator or closing mark.
 SUBSTITUTE, DROP, SEPARATE = 1.0, 0.4, 0.2
 
 _LETTER = r"[^\W\d_]"
-_SYMBOL = r"[0-9@$!|+(<€£¡*#&%]"
-#: A word with a symbol between letters or at its start, or a letter three times in a row.
-_ODD = re.compile(rf"(?:{_LETTER}{_SYMBOL}+(?={_LETTER})|(?:(?<=\s)|^)[@$0-9]+{_LETTER}{_LETTER}|({_LETTER})\1\1)")
-#: Four or more single letters (or symbols), spaced or dotted out.
-_SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}|{_SYMBOL})(?:[ .\-_*]{{1,3}}(?:{_LETTER}|{_SYMBOL})){{3,}}(?![^\W_])")
+_SYMBOL = "[" + re.escape("".join(READINGS)) + "]"
+#: What gives a lattice a second path.
+_MANY = re.compile(rf"{_SYMBOL}|({_LETTER})\1")
+_HAS = re.compile(_LETTER)
+#: Three or more single letters (or symbols), apart by spaces or marks.
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}|{_SYMBOL})(?:(?:[^\w\n]|_){{1,3}}(?:{_LETTER}|{_SYMBOL})){{2,}}(?![^\W_])")
 _WORD = re.compile(r"[^\s.,;:\"'?…»«]+")
 _FOLD = {c: b for group, b in (("àáâãäåā", "a"), ("çćč", "c"), ("èéêëē", "e"), ("ìíîïī", "i"), ("ñń", "n"), ("òóôõöøō", "o"), ("ùúûüū", "u"), ("ýÿ", "y")) for c in group}
 
@@ -95,10 +101,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ALPHABET**3, np.int64)
-        for batch in batches:
-            own = texts(batch)
-            for at in range(0, len(own), 64):
-                counts += np.bincount(trigrams(" ".join(t.decode("utf-8", "replace") for t in own[at : at + 64])), minlength=ALPHABET**3)
+        for batch in parts(batches, 1 << 18):
+            counts += np.bincount(trigrams(" ".join(t.decode("utf-8", "replace") for t in texts(batch))), minlength=ALPHABET**3)
         codes = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts[codes])], names=["code", "n"])
 
@@ -120,18 +124,19 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
 def lattice(word: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     """For each place of a word, (letters, cost) it may stand for; letters may be empty."""
     places: list[list[tuple[str, float]]] = []
+    body = len(word) if spaced else len(word.rstrip(CLOSING))
     at = 0
     while at < len(word):
         c, run = word[at], 1
-        while at + run < len(word) and word[at + run] == c:
+        while at + run < len(word) and word[at + run] == c and (at + run < body) == (at < body):
             run += 1
         if c.isalpha():
             places.append([(c, DROP * (run > 1))] + ([(c * 2, DROP * (run > 2))] if run > 1 else []))
-        elif spaced and c in " .-_" or c not in READINGS:
-            places.append([("", SEPARATE)])
+        elif c in READINGS and not (spaced and c == "*"):
+            reads = [(x, SUBSTITUTE + DROP * (run > 1)) for x in READINGS[c]] + [("", 2 * SUBSTITUTE if at < body else SEPARATE)]
+            places.append(reads + ([(2 * x, SUBSTITUTE + DROP * (run > 2)) for x in READINGS[c]] if run > 1 else []))
         else:
-            reads = [(x, SUBSTITUTE) for x in READINGS[c]] + [("", 2 * SUBSTITUTE)]
-            places.append(reads + ([(2 * x, SUBSTITUTE + DROP) for x in READINGS[c]] if run > 1 else []))
+            places.append([("", SEPARATE)] if spaced else [(c * run, 0.0)])
         at += run
     return places
 
@@ -146,12 +151,13 @@ def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
                 x, y, total = a, b, cost + extra
                 for c in letters:
                     z = letter(c)
-                    total -= float(model[x if y else BOUNDARY, y, z])
+                    if y or z:
+                        total -= float(model[x if y else BOUNDARY, y, z])
                     x, y = y, z
                 if (x, y) not in step or total < step[x, y][0]:
                     step[x, y] = (total, (letters, back) if letters else back)
         states = step
-    best = min(states.items(), key=lambda s: s[1][0] - float(model[s[0][0] if s[0][1] else BOUNDARY, s[0][1], BOUNDARY]))[1][1]
+    best = min(states.items(), key=lambda s: s[1][0] - float(model[s[0][0] if s[0][1] else BOUNDARY, s[0][1], BOUNDARY]) * (s[0][1] != BOUNDARY))[1][1]
     out = []
     while best is not None:
         out.append(best[0])
@@ -159,28 +165,37 @@ def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def ambiguous(word: str) -> bool:
+    """Whether a word's lattice has more than one path; without any letter it isn't taken as a word."""
+    return bool(_MANY.search(word)) and bool(_HAS.search(word))
+
+
 class Restorer:
-    """Restores words; readings of words met before are remembered."""
+    """Restores words of lower-cased texts."""
 
-    def __init__(self, model: np.ndarray, remember: int = 200_000):
-        self.model, self.known, self.remember = model, {}, remember
+    def __init__(self, model: np.ndarray):
+        self.model = model
 
-    def word(self, word: str, spaced: bool = False) -> str:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > self.remember:
-                self.known.clear()
-            found = self.known[word] = viterbi(lattice(word, spaced), self.model)
-        return found
+    def _reading(self, m: re.Match) -> str:
+        return viterbi(lattice(m[0]), self.model) if ambiguous(m[0]) else m[0]
 
-    def text(self, text: str) -> str:
-        """The text lower-cased, its suspicious stretches restored."""
+    def _joined(self, m: re.Match) -> str:
+        return f" {viterbi(lattice(m[0], True), self.model)} " if _HAS.search(m[0]) else m[0]
+
+    def word(self, written: str) -> str:
+        """What stands between white space, its words restored."""
+        return _WORD.sub(self._reading, written) if ambiguous(written) else written
+
+    def tokens(self, text: str) -> list[str]:
+        """A text's written words, lower-cased, spaced-out ones joined and read."""
         text = text.lower()
         if _SPACED.search(text):
-            text = _SPACED.sub(lambda m: f" {self.word(m[0], True)} ", text)
-        if _ODD.search(text):
-            text = _WORD.sub(lambda m: self.word(m[0].rstrip("!*#$%&|+")) if _ODD.search(m[0]) else m[0], text)
-        return text
+            text = _SPACED.sub(self._joined, text)
+        return text.split()
+
+    def text(self, text: str) -> str:
+        """The text lower-cased and restored, a space between words."""
+        return " ".join(self.word(w) for w in self.tokens(text))
 
 
 def grams(word: str, n: int = N) -> list[str]:
@@ -196,23 +211,36 @@ def words(text: str) -> list[str]:
     return [w for w in (x.strip(_TRIM) for x in text.split()) if w]
 
 
+class Remembered:
+    """A function of written words whose values are kept for up to REMEMBER of them."""
+
+    def __init__(self, of):
+        self.of, self.known = of, {}
+
+    def __call__(self, word: str):
+        found = self.known.get(word)
+        if found is None:
+            found = self.of(word)
+            if len(word) <= LONGEST:
+                if len(self.known) >= REMEMBER:
+                    self.known.clear()
+                self.known[word] = found
+        return found
+
+
 class Scorer:
-    """What a restored text's words add up to under n-gram weights."""
+    """What a text's restored words add up to under n-gram weights."""
 
-    def __init__(self, weights: dict[str, float], remember: int = 400_000):
-        self.weights, self.known, self.remember = weights, {}, remember
+    def __init__(self, weights: dict[str, float], restorer: Restorer):
+        self.weights, self.restorer, self.value = weights, restorer, Remembered(self._word)
 
-    def _word(self, word: str) -> float:
-        if len(self.known) > self.remember:
-            self.known.clear()
+    def _word(self, written: str) -> float:
         get = self.weights.get
-        best = max((get(g, 0.0) for g in grams(word.strip(_TRIM))), default=0.0)
-        self.known[word] = best
-        return best
+        return max((get(g, 0.0) for w in words(self.restorer.word(written)) for g in grams(w)), default=0.0)
 
     def features(self, text: str) -> list[float]:
-        known, own = self.known, self._word
-        values = [known[w] if w in known else own(w) for w in text.split()]
+        value = self.value
+        values = [value(w) for w in self.restorer.tokens(text)]
         hits = [v for v in values if v]
         total = sum(hits)
         return [1.0, max(hits, default=0.0), math.log1p(total), total / (len(values) + 20)]
@@ -235,21 +263,16 @@ def _gram_counts(model: np.ndarray):
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        counts: dict[tuple[str, int], list[int]] = {}
-        of: dict[str, list[str]] = {}
-        for batch in batches:
+        of = Remembered(lambda written: tuple({g for w in words(restorer.word(written)) for g in grams(w)}))
+        for batch in parts(batches, 16 << 20):
+            counts: dict[tuple[str, int], list[int]] = {}
             for text, y, half in zip(texts(batch), batch.column("y").to_pylist(), batch.column("half").to_pylist(), strict=True):
                 found: set[str] = set()
-                for w in set(words(restorer.text(text.decode("utf-8", "replace")))):
-                    if w not in of:
-                        of[w] = grams(w)
-                    found.update(of[w])
+                for w in set(restorer.tokens(text.decode("utf-8", "replace"))):
+                    found.update(of(w))
                 for g in found:
                     counts.setdefault((g, half), [0, 0])[int(y)] += 1
-            if len(of) > 400_000:
-                of.clear()
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in counts]), pa.array([h for _, h in counts], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["gram", "half", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in counts], pa.string()), pa.array([h for _, h in counts], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["gram", "half", "pos", "neg"])
 
     return counted
 
@@ -258,9 +281,9 @@ def _scored(model: np.ndarray, weights: dict[str, float], coefficients: list[flo
     """Appends features (to fit) or scores to batches of doc_id and text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, scorer = Restorer(model), Scorer(weights)
-        for batch in batches:
-            own = [scorer.features(restorer.text(t.decode("utf-8", "replace"))) for t in texts(batch)]
+        scorer = Scorer(weights, Restorer(model))
+        for batch in parts(batches):
+            own = [scorer.features(t.decode("utf-8", "replace")) for t in texts(batch)]
             if coefficients is None:
                 yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(own, pa.list_(pa.float64()))], names=["y", "x"])
             else:
@@ -288,15 +311,14 @@ class Model:
         sums = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("pos", "neg")]
         n = {(r["half"], r["y"]): r["count"] for r in own.groupBy("half", "y").count().collect()}
         pos, neg = ([n.get((h, y), 0) for h in (0, 1)] for y in (1.0, 0.0))
-        support = max(2, min(SUPPORT, round(sum(pos) / 100)))
         both = F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1")
-        best = counts.groupBy("gram").agg(*sums).where(f"pos0 + pos1 >= {support}").withColumn("w", _weight(*both, sum(pos), sum(neg), F.log)).where((F.col("w") > MIN_WEIGHT) & (_evidence(*both, sum(pos), sum(neg)) > EVIDENCE)).orderBy(F.desc("w"), F.desc(F.col("pos0") + F.col("pos1")), "gram").limit(GRAMS).collect()
+        best = counts.groupBy("gram").agg(*sums).withColumn("w", _weight(*both, sum(pos), sum(neg), F.log)).where((F.col("w") > MIN_WEIGHT) & (_evidence(*both, sum(pos), sum(neg)) > EVIDENCE)).orderBy("gram").collect()
         self.weights = {r["gram"]: float(r["w"]) for r in best}
         # each half is described by weights of the other, so that the regression sees what new documents look like
         halves = []
         for h in (0, 1):
             o = 1 - h
-            own_w = {r["gram"]: _weight(r[f"pos{o}"], r[f"neg{o}"], pos[o], neg[o], math.log) for r in best if r[f"pos{o}"] >= max(1, support // 2)}
+            own_w = {r["gram"]: _weight(r[f"pos{o}"], r[f"neg{o}"], pos[o], neg[o], math.log) for r in best if r[f"pos{o}"] >= SUPPORT}
             own_w = {g: w for g, w in own_w.items() if w > MIN_WEIGHT}
             halves += own.where(F.col("half") == h).select("text", "y").mapInArrow(_scored(self.language, own_w, None, 0.0), "y double, x array<double>").collect()
         self.coefficients = learn.logistic(np.array([r["x"] for r in halves]), np.array([r["y"] for r in halves]), 1e-4).tolist()
@@ -305,15 +327,14 @@ class Model:
         """(doc_id, score) of every document."""
         return slim(docs, "doc_id", "text").mapInArrow(_scored(self.language, self.weights, self.coefficients, self.share), "doc_id long, score double")
 
-
     def keep(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """The rows of docs, all columns as they are, that score below the threshold."""
         scored = _scored(self.language, self.weights, self.coefficients, self.share)
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for made in scored(iter([batch.select(["doc_id", "text"])])):
-                    yield batch.filter(pc.less(made.column("score"), threshold))
+            one, two = itertools.tee(parts(batches))
+            for batch, made in zip(one, scored(two), strict=True):
+                yield batch.filter(pc.less(made.column("score"), threshold))
 
         return docs.mapInArrow(kept, docs.schema)
 

@@ -82,14 +82,71 @@ def test_stage_takes_copies_that_two_bits_miss(spark):
     assert simhash.representatives(docs).count() > 40
 
 
-def test_spanning_joins_what_all_pairs_join():
+def similar(rng, n, size):
+    base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+    out = [np.unique(np.concatenate([np.delete(base, rng.integers(0, size, int(rng.integers(0, size // 4)))), rng.integers(0, 1 << 62, int(rng.integers(0, size // 6))).astype(np.uint64)])) for _ in range(n)]
+    return out + [np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 2 * size))).astype(np.uint64)) for _ in range(n // 2)]
+
+
+def is_alike(x, y):
+    return len(np.intersect1d(x, y)) * 5 >= 4 * len(np.union1d(x, y))
+
+
+def test_fingerprints_lose_no_alike_sets():
+    rng = np.random.default_rng(4)
+    for size in (8, 60, 66, 250, 700):
+        sets = similar(rng, 60, size)
+        sketches, sizes = [neardup.sketch(s) for s in sets], np.array([len(s) for s in sets])
+        near = neardup.by_planes(sketches, sizes, lanes=16, worth=size % 4)
+        exact = neardup.by_sets(sets)
+        extra = 0
+        for q in range(len(sets)):
+            want = {k for k in range(len(sets)) if k != q and is_alike(sets[q], sets[k])}
+            assert want == set(exact(q)) - {q}
+            assert want <= set(near(q))
+            extra += len(set(near(q)) - want)
+        assert extra < len(sets) * len(sets) / 4
+
+
+def test_joining_joins_what_all_pairs_join():
     rng = np.random.default_rng(3)
-    base = np.arange(100)
-    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 100, 9)), rng.integers(1000, 1010, 3)])) for _ in range(30)]
-    sets += [np.arange(500 + 100 * k, 540 + 100 * k) for k in range(5)]
-    pairs = neardup.spanning(sets, np.arange(35))
-    assert all(len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b])) for a, b in pairs)
-    assert brute([(i, " ".join(f"{x} a b c d" for x in s)) for i, s in enumerate(sets)])[-5:] == list(range(30, 35)) and max(max(p) for p in pairs) < 30
+    sets = similar(rng, 40, 100)
+    for labels in (np.arange(60), np.arange(60) // 7):
+        pairs = neardup.joining(labels, neardup.by_sets(sets))
+        assert all(is_alike(sets[a], sets[b]) for a, b in pairs)
+
+        def roots(links):
+            root = list(range(60))
+
+            def of(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for a, b in links:
+                root[of(a)] = of(b)
+            return [of(i) for i in range(60)]
+
+        same = [(i, j) for i in range(60) for j in range(i) if labels[i] == labels[j]]
+        every = [(i, j) for i in range(60) for j in range(i) if is_alike(sets[i], sets[j])]
+        one, two = roots(same + pairs), roots(same + every)
+        assert all((one[i] == one[j]) == (two[i] == two[j]) for i in range(60) for j in range(i))
+
+
+def test_a_family_that_one_task_must_not_hold(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "STRETCH", 40)
+    monkeypatch.setattr(neardup, "LANES", 32)
+    monkeypatch.setattr(neardup, "SETS", 16)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(600):  # near the limit of 0.8, so that fingerprints let pairs pass that sets refuse
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(words + [f"tail{i}"] * (i % 3 == 0))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in neardup.representatives(docs).collect()) == brute(rows)
 
 
 def test_empty(spark):

@@ -24,6 +24,55 @@ def test_fullest_closes_first():
     assert packer.by_free == {2: [1], 3: [2]}
 
 
+def lengths(n, seed=2):
+    rng = random.Random(seed)
+    return [min(2048, max(1, int(rng.lognormvariate(6, 1.2)))) for _ in range(n)]
+
+
+def plain_best_fit(own, capacity, open_bins):
+    """(bin, offset) of each length by lists alone, and how many bins closed with space left."""
+    open_, out, bins, closed = [], [], 0, 0  # [free, bin], the one touched last at the end
+    for n in own:
+        fits = [(free, -i) for i, (free, _) in enumerate(open_) if free >= n]
+        free, number = open_.pop(-min(fits)[1]) if fits else [capacity, bins]
+        bins += not fits
+        out.append((number, capacity - free))
+        if free > n:
+            open_.append([free - n, number])
+        if len(open_) > open_bins:
+            open_.pop(-min((free, -i) for i, (free, _) in enumerate(open_))[1])
+            closed += 1
+    return out, closed
+
+
+def test_packer_equals_plain_best_fit_at_the_querys_sizes():
+    own = lengths(6000)
+    want, closed = plain_best_fit(own, packing.SEQ_LEN, packing.OPEN_BINS)
+    packer = packing.Packer(packing.SEQ_LEN)
+    assert [packer.place(n) for n in own] == want
+    assert closed > 100
+
+
+def test_the_bound_costs_little():
+    own = lengths(20_000)
+    bounded, whole = packing.Packer(packing.SEQ_LEN), packing.Packer(packing.SEQ_LEN, 1 << 30)
+    for n in own:
+        bounded.place(n)
+        whole.place(n)
+    assert whole.open > 4 * bounded.open
+    assert bounded.bins <= 1.001 * whole.bins and bounded.bins <= 1.02 * sum(own) / packing.SEQ_LEN
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    docs = spark.createDataFrame([(None, None)] * 4000 + [(1, "same text here")] * 2000, "doc_id long, text string").repartition(4)
+    out = packing.pack(packing.saved(packing.pieces(docs, packing.default_tokenizer()), "pieces"), group_tokens=1000).collect()
+    assert len(out) == 6000
+    groups = {}
+    for r in out:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(groups) > 5 and max(groups.values()) < 2 * 6000 / len(groups)
+
+
 @pytest.fixture(scope="module")
 def packed(spark):
     rows = [(1, "Hello big world, don't stop!", "x"), (2, None, "x"), (3, "", "x"), (4, "word " * 5000, "x"), (4, "word " * 5000, "x"), (None, "no id", "x")]

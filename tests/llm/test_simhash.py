@@ -34,7 +34,7 @@ def chained(rng, n):
 def test_near_equals_popcount():
     rng = random.Random(3)
     fps = chained(rng, 300)
-    block = simhash.Planes(np.array(fps, np.uint64))
+    block = simhash.Planes(np.array(fps, np.uint64).view(np.uint8).reshape(-1, 8))
     for q in fps[:50]:
         got = block.near(q, block.all)
         assert got == sum(1 << i for i, x in enumerate(fps) if bin(x ^ q).count("1") <= 2)

@@ -35,16 +35,16 @@ def brute(places, model):
         cost, a, b = sum(c for _, c in path), 0, 0
         for c in read:
             z = toxicity.letter(c)
-            cost -= float(model[a if b else 0, b, z])
+            cost -= float(model[a if b else 0, b, z]) * bool(b or z)
             a, b = b, z
-        cost -= float(model[a if b else 0, b, 0])
+        cost -= float(model[a if b else 0, b, 0]) * bool(b)
         if best is None or cost < best[0] - 1e-12:
             best = (cost, read)
     return best
 
 
 def test_viterbi_is_the_cheapest_path(fitted):
-    for word in ("st0ne", "wwinnter", "br3@d", "mu$1c", "l|77er", "gg4rdenn"):
+    for word in ("st0ne", "wwinnter", "br3@d", "mu$1c", "l|77er", "gg4rdenn", "!diot", "a$$", "fuuck", "st0ne!!", "letter", "w-1nd0w"):
         places = toxicity.lattice(word)
         cost, read = brute(places, fitted.language)
         assert toxicity.viterbi(places, fitted.language) == read
@@ -67,7 +67,62 @@ def test_restores_leetspeak_spacing_and_repetition(fitted):
     assert r.text("a sc0undr3l in the g4rden") == "a scoundrel in the garden"
     assert "blockhead" in r.text("you b l o c k h e a d now")
     assert "blockhead" in r.text("you bbbblockhead now")
-    assert r.text("plain words stay!") == "plain words stay!"
+    assert r.text("Plain words stay!") == "plain words stay"  # a closing mark is read as nothing
+
+
+def test_every_word_with_a_second_path_is_decoded(fitted):
+    rng = random.Random(2)
+    forms = ["!diot", "|diot", "+wat", "a$$", "as$", "fuuck", "letter", "plain", "don-t", "2024", "5th", "$", "stop!", "ünd", "a_b", "idiiot"]
+    forms += ["".join(rng.choice("aab0$!-|éß") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    for w in forms:
+        many = any(len(options) > 1 for options in toxicity.lattice(w))
+        assert toxicity.ambiguous(w) == (many and any(c.isalpha() for c in w)), w
+        if not many:
+            assert "".join(x for options in toxicity.lattice(w) for x, _ in options) == w
+
+
+def test_spellings_reach_their_words():
+    rng = random.Random(1)
+    pool = ["idiot", "idiots", "twat", "ass", "fuck", "river", "stone", "garden", "was", "diet"]
+    model = toxicity.smoothed(sum(np.bincount(toxicity.trigrams(rng.choice(pool)), minlength=32**3) for _ in range(2000)).astype(float))
+    r = toxicity.Restorer(model)
+    got = {w: r.text(w) for w in ("!diot", "|diot", "+wat", "a$$", "fuuck", "idiiot", "a s s", "f/u/c/k", "1d10t", "river!", "garden*")}
+    assert got == {"!diot": "idiot", "|diot": "idiot", "+wat": "twat", "a$$": "ass", "fuuck": "fuck", "idiiot": "idiot", "a s s": "ass", "f/u/c/k": "fuck", "1d10t": "idiot", "river!": "river", "garden*": "garden"}
+
+
+def test_weights_and_scores_against_plain_counting(spark):
+    rng = random.Random(5)
+    rows = [(i, make(rng, i % 3 == 0, noisy=i % 6 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.Model(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    restorer = toxicity.Restorer(model.language)
+    learned = [(i, t) for i, t in rows if toxicity_crc(i) % 5]
+    n, seen = [0, 0], {}
+    for i, t in learned:
+        y = int(i % 3 == 0)
+        n[y] += 1
+        for g in {g for w in toxicity.words(restorer.text(t)) for g in toxicity.grams(w)}:
+            seen.setdefault(g, [0, 0])[y] += 1
+    share, want = n[1] / sum(n), {}
+    for g, (neg, pos) in seen.items():
+        w = math.log((pos + 0.5) / (n[1] + 1)) - math.log((neg + 0.5) / (n[0] + 1))
+        told = 2 * sum(k * math.log(k / ((pos + neg) * p)) for k, p in ((pos, share), (neg, 1 - share)) if k)
+        if w > toxicity.MIN_WEIGHT and told > toxicity.EVIDENCE:
+            want[g] = w
+    assert set(want) == set(model.weights) and want
+    assert all(abs(model.weights[g] - w) < 1e-9 for g, w in want.items())
+    got = {r.doc_id: r.score for r in model.scores(docs).collect()}
+    for i, t in rows:
+        own = restorer.text(t).split()
+        hits = [v for v in (max((want.get(g, 0.0) for x in toxicity.words(w) for g in toxicity.grams(x)), default=0.0) for w in own) if v]
+        x = [1.0, max(hits, default=0.0), math.log1p(sum(hits)), sum(hits) / (len(own) + 20)]
+        assert abs(got[i] - 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.coefficients, strict=True))))) < 1e-9
+
+
+def toxicity_crc(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode())
 
 
 def test_held_out_and_noisy_accuracy(spark, fitted):
