@@ -99,6 +99,21 @@ def literal_rows(spark: SparkSession, schema: str, rows: list) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
 
 
+def stored_rows(spark: SparkSession, schema: str, rows: list, tag: str) -> DataFrame:
+    """A table of rows that the driver made, as a file in the shared folder: plans stay small, and no Python rows take part."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    path = shared_path(spark, tag)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/rows.json")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        for r in rows:
+            out.write((json.dumps(dict(zip(names, r, strict=True))) + "\n").encode())
+    finally:
+        out.close()
+    return spark.read.schema(schema).json(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body or a lambda in it names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

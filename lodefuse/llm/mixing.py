@@ -5,16 +5,21 @@ source's blocks decides which of them its quota of words takes, whole blocks fir
 last one in part. The blocks drawn, counted by source, are then split among output shards
 by a binary tree: at each node the left half's share is a multivariate-hypergeometric draw
 from the node's quotas, made source by source by inversion, so shards get exact, disjoint
-block quotas whose sums are the whole. Within a shard rows have a shuffle key of their own.
+block quotas whose sums are the whole. The tree is drawn by the driver down to as many nodes
+as a bounded table holds; below, each node's blocks are permuted and dealt evenly to its
+shards, which has the same law, so shards keep their size however large the mix is. Within a
+shard rows have a shuffle key of their own.
 
 The tables that plan this are small by construction: one row per source (at most
 ``MAX_SOURCES``, checked) and, while drawing, one row per block, sqrt(n) of a source with n
 documents. No task ever holds a source: the only rows ordered by a window are a source's
-blocks, and the documents of its one partly taken block.
+blocks, a node's blocks, and the documents of a source's one partly taken block. Rows that are
+repeated are counted and numbered first, so that copies fall into different blocks.
 
-Edge cases: null text has size 0; a null source is a source, last in order; sources without
-words have target 0; rows with equal doc_id, source and size are interchangeable; an empty
-table gives no rows. Other columns are ignored, whatever their names.
+Edge cases: null text has size 0; very long texts are counted whole; a null source is a
+source, last in order; sources without words have target 0; rows with equal doc_id, source
+and text are interchangeable; ties of hashes go by block, then doc_id; a null doc_id is an id
+like others; an empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +30,14 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodefuse.llm.common import WORD, fresh, literal_rows, saved, slim, table
+from lodefuse.llm.common import WORD, fresh, literal_rows, saved, slim, stored_rows, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-#: Words of an output shard, and how many shards there may be, alone and times the sources.
+#: Words of an output shard, and nodes that the driver's tree may have, alone and times the sources.
 SHARD_WORDS = 4_000_000
-MAX_SHARDS, MAX_QUOTAS = 4096, 2_000_000
+NODES, QUOTAS = 4096, 2_000_000
 #: Sources that a mix may have; beyond, they should be grouped first.
 MAX_SOURCES = 10_000
 
@@ -119,8 +124,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     `shards` lists (shard, words, key): where each taking goes, and its place there by key.
     """
     spark = docs.sparkSession
-    hashed = F.xxhash64("doc_id", "source", "text_hash", F.lit(seed))
-    rows = saved(slim(docs, "doc_id", "source", "text").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), _word_count(F.col("text")).alias("size")).withColumn("h", hashed), "sizes")
+    counted = slim(docs, "doc_id", "source", "text").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), _word_count(F.col("text")).alias("size"))
+    copies = counted.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("n"))
+    numbered = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    rows = saved(numbered.withColumn("h", F.xxhash64("doc_id", "source", "text_hash", "copy", F.lit(seed))).drop("copy"), "sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"a mix takes at most {MAX_SOURCES} sources")
@@ -142,9 +149,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     # quotas of block takings by source, split among shards; a source's takings in order go to the shards' disjoint runs
     counts = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.sum(F.col("full") + (F.col("block_quota") > 0).cast("long")).alias("n")).collect()}
-    if shards is None:
-        shards = max(1, min(MAX_SHARDS, MAX_QUOTAS // max(1, len(found)), math.ceil(sum(goal) / SHARD_WORDS)))
-    matrix = splitting_tree([counts.get(r["source"], 0) for r in found], shards, seed)
+    shards = shards or max(1, math.ceil(sum(goal) / SHARD_WORDS))
+    nodes = max(1, min(NODES, QUOTAS // max(1, len(found)), shards))
+    each = math.ceil(shards / nodes)
+    matrix = splitting_tree([counts.get(r["source"], 0) for r in found], nodes, seed)
     edges = []
     for i, r in enumerate(found):
         at, cuts = 0, []
@@ -152,13 +160,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             at += row[i]
             cuts.append(at)
         edges.append((r["source"], cuts))
-    cuts = F.broadcast(literal_rows(spark, "s string, cuts array<long>", edges))
+    cuts = F.broadcast(stored_rows(spark, "s string, cuts array<long>", edges, "cuts"))  # at most QUOTAS numbers
     count = F.col("full") + (F.col("block_quota") > 0).cast("long")
     place = Window.partitionBy("source").orderBy(F.xxhash64("block", "source", F.lit(seed + 2)), "block").rowsBetween(Window.unboundedPreceding, -1)
     dealt = drawn.withColumn("first", F.coalesce(F.sum(count).over(place), F.lit(0))).join(cuts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     shard = lambda k: F.aggregate("cuts", F.lit(0), lambda a, c: a + (c <= F.col("first") + k).cast("int"))
     takes = F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), shard)).otherwise(F.array().cast("array<int>"))
     dealt = dealt.select(F.col("source").alias("s"), F.col("block").alias("b"), "block_quota", "words", takes.alias("takes"))
+    if each > 1:
+        dealt = _deeper(dealt, each, seed)
 
     met = own.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
     whole = met.where("block_quota = 0 OR block_quota = words").withColumn("part", F.when(F.col("block_quota") > 0, F.col("size")).otherwise(0).cast("long"))
@@ -172,6 +182,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return all_rows.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), F.filter(listed, lambda x: x["words"] > 0).alias("shards"))
 
 
+def _deeper(dealt: DataFrame, each: int, seed: int) -> DataFrame:
+    """Takings of nodes as takings of shards: a node's blocks in permuted order, dealt evenly to `each` shards."""
+    long = dealt.select("s", "b", F.posexplode("takes").alias("i", "node"))
+    node = Window.partitionBy("node")
+    place = F.row_number().over(node.orderBy(F.xxhash64("b", "s", "i", F.lit(seed + 5)), "s", "b", "i")) - 1
+    below = F.floor(place * each / F.count("*").over(node)).cast("long")
+    shards = long.withColumn("shard", F.col("node").cast("long") * each + below)
+    again = shards.groupBy("s", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "shard"))), lambda x: x["shard"]).alias("takes")).select(F.col("s").alias("s2"), F.col("b").alias("b2"), "takes")  # a taking a round of a source
+    met = dealt.drop("takes").join(again, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")), "left").drop("s2", "b2")
+    return met.withColumn("takes", F.coalesce("takes", F.array().cast("array<long>")))
+
+
 def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: docs' columns, a row for each taking, shards apart and shuffled within; a part is a text's first words, a space between."""
     names = docs.columns

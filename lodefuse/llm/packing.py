@@ -40,9 +40,9 @@ GROUP_PIECES = 1 << 18
 #: Bins a packer holds open.
 OPEN_BINS = 256
 #: Runs of letters whose ids a Python worker remembers, and how long they may be.
-CACHE_WORDS, LONGEST = 50_000, 64
+CACHE_WORDS, LONGEST = 150_000, 64
 #: Bytes of text that are tokenized at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 
 _loaded: dict = {}
 

@@ -41,7 +41,7 @@ from lodefuse.llm.common import parts, saved, slim, table, texts
 #: Letters of the language model: word boundary, a to z, any other letter.
 BOUNDARY, OTHER, ALPHABET = 0, 27, 32
 #: Words that a worker remembers, and how long they may be.
-REMEMBER, LONGEST = 100_000, 64
+REMEMBER, LONGEST = 150_000, 64
 #: Documents of half the sample that must have an n-gram for its weight there.
 SUPPORT = 2
 #: Evidence (twice a log likelihood ratio) that an n-gram must exceed: chance reaches it once in some hundred thousand.
@@ -63,6 +63,8 @@ _SYMBOL = "[" + re.escape("".join(READINGS)) + "]"
 #: What gives a lattice a second path.
 _MANY = re.compile(rf"{_SYMBOL}|({_LETTER})\1")
 _HAS = re.compile(_LETTER)
+_SPOT = re.compile(rf"({_SYMBOL})\1*|({_LETTER})\2+")
+_RUN = re.compile(r"(.)\1*", re.S)
 #: Three or more single letters (or symbols), apart by spaces or marks.
 _SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}|{_SYMBOL})(?:(?:[^\w\n]|_){{1,3}}(?:{_LETTER}|{_SYMBOL})){{2,}}(?![^\W_])")
 _WORD = re.compile(r"[^\s.,;:\"'?…»«]+")
@@ -81,6 +83,9 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+_CODES = {chr(i): int(x) for i, x in enumerate(_CLASS)}
+
+
 def letter(c: str) -> int:
     return int(_CLASS[ord(c)]) if ord(c) < 0x250 else OTHER if c.isalpha() else BOUNDARY
 
@@ -121,43 +126,59 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 5 * p2[None]) / (three.sum(2, keepdims=True) + 5))
 
 
+def _symbol(c: str, run: int, closing: bool) -> list[tuple[str, float]]:
+    """What a run of a symbol may stand for."""
+    reads = [(x, SUBSTITUTE + DROP * (run > 1)) for x in READINGS[c]] + [("", SEPARATE if closing else 2 * SUBSTITUTE)]
+    return reads + ([(2 * x, SUBSTITUTE + DROP * (run > 2)) for x in READINGS[c]] if run > 1 else [])
+
+
+def _letters(c: str, run: int) -> list[tuple[str, float]]:
+    """What a run of a letter may stand for."""
+    return [(c, DROP * (run > 1))] + ([(c * 2, DROP * (run > 2))] if run > 1 else [])
+
+
 def lattice(word: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """For each place of a word, (letters, cost) it may stand for; letters may be empty."""
+    """For each place of a word, (letters, cost) it may stand for; letters may be empty. A stretch without choice is one place."""
     places: list[list[tuple[str, float]]] = []
-    body = len(word) if spaced else len(word.rstrip(CLOSING))
     at = 0
-    while at < len(word):
-        c, run = word[at], 1
-        while at + run < len(word) and word[at + run] == c and (at + run < body) == (at < body):
-            run += 1
-        if c.isalpha():
-            places.append([(c, DROP * (run > 1))] + ([(c * 2, DROP * (run > 2))] if run > 1 else []))
-        elif c in READINGS and not (spaced and c == "*"):
-            reads = [(x, SUBSTITUTE + DROP * (run > 1)) for x in READINGS[c]] + [("", 2 * SUBSTITUTE if at < body else SEPARATE)]
-            places.append(reads + ([(2 * x, SUBSTITUTE + DROP * (run > 2)) for x in READINGS[c]] if run > 1 else []))
-        else:
-            places.append([("", SEPARATE)] if spaced else [(c * run, 0.0)])
-        at += run
-    return places
-
-
-def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The cheapest reading of a lattice under the trigram model; ties go to the first reading listed."""
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BOUNDARY, BOUNDARY): (0.0, None)}
+    if spaced:
+        for m in _RUN.finditer(word):
+            c, run = m[0][0], len(m[0])
+            places.append(_letters(c, run) if c.isalpha() else _symbol(c, run, False) if c in READINGS and c != "*" else [("", SEPARATE)])
+        return places
+    body = len(word.rstrip(CLOSING))
+    for m in _SPOT.finditer(word):
+        if m.start() > at:
+            places.append([(word[at : m.start()], 0.0)])
+        c, run, at = m[0][0], len(m[0]), m.end()
+        places.append(_symbol(c, run, m.start() >= body) if c in READINGS else _letters(c, run))
+    return places + ([[(word[at:], 0.0)]] if at < len(word) else [])
+
+
+def costs(model: np.ndarray) -> list[float]:
+    """A trigram model's costs by code (a * 32 + b) * 32 + c; a boundary after a boundary costs nothing."""
+    own = -model
+    own[:, BOUNDARY] = own[BOUNDARY, BOUNDARY]
+    own[:, BOUNDARY, BOUNDARY] = 0.0
+    return own.ravel().tolist()
+
+
+def viterbi(places: list[list[tuple[str, float]]], cost: list[float]) -> str:
+    """The cheapest reading of a lattice under the trigram costs; ties go to the first reading listed."""
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last two classes
     for options in places:
-        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (cost, back) in states.items():
+        step: dict[int, tuple[float, tuple | None]] = {}
+        for start, (before, back) in states.items():
             for letters, extra in options:
-                x, y, total = a, b, cost + extra
+                key, total = start, before + extra
                 for c in letters:
-                    z = letter(c)
-                    if y or z:
-                        total -= float(model[x if y else BOUNDARY, y, z])
-                    x, y = y, z
-                if (x, y) not in step or total < step[x, y][0]:
-                    step[x, y] = (total, (letters, back) if letters else back)
+                    code = key << 5 | (_CODES[c] if c in _CODES else letter(c))
+                    total += cost[code]
+                    key = code & 1023
+                if key not in step or total < step[key][0]:
+                    step[key] = (total, (letters, back) if letters else back)
         states = step
-    best = min(states.items(), key=lambda s: s[1][0] - float(model[s[0][0] if s[0][1] else BOUNDARY, s[0][1], BOUNDARY]) * (s[0][1] != BOUNDARY))[1][1]
+    best = min(states.items(), key=lambda s: s[1][0] + cost[s[0] << 5])[1][1]
     out = []
     while best is not None:
         out.append(best[0])
@@ -174,17 +195,19 @@ class Restorer:
     """Restores words of lower-cased texts."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.cost = costs(model)
 
     def _reading(self, m: re.Match) -> str:
-        return viterbi(lattice(m[0]), self.model) if ambiguous(m[0]) else m[0]
+        return viterbi(lattice(m[0]), self.cost) if ambiguous(m[0]) else m[0]
 
     def _joined(self, m: re.Match) -> str:
-        return f" {viterbi(lattice(m[0], True), self.model)} " if _HAS.search(m[0]) else m[0]
+        return f" {viterbi(lattice(m[0], True), self.cost)} " if _HAS.search(m[0]) else m[0]
 
     def word(self, written: str) -> str:
         """What stands between white space, its words restored."""
-        return _WORD.sub(self._reading, written) if ambiguous(written) else written
+        if not ambiguous(written):
+            return written
+        return viterbi(lattice(written), self.cost) if _WORD.fullmatch(written) else _WORD.sub(self._reading, written)
 
     def tokens(self, text: str) -> list[str]:
         """A text's written words, lower-cased, spaced-out ones joined and read."""
@@ -217,15 +240,24 @@ class Remembered:
     def __init__(self, of):
         self.of, self.known = of, {}
 
-    def __call__(self, word: str):
-        found = self.known.get(word)
-        if found is None:
-            found = self.of(word)
+    def all(self, words: list[str]) -> list:
+        """The function's values, none of which is None."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            for i, word in enumerate(words):
+                if found[i] is None:
+                    found[i] = self._made(word)
+        return found
+
+    def _made(self, word: str):
+        value = self.known.get(word)
+        if value is None:
+            value = self.of(word)
             if len(word) <= LONGEST:
                 if len(self.known) >= REMEMBER:
                     self.known.clear()
-                self.known[word] = found
-        return found
+                self.known[word] = value
+        return value
 
 
 class Scorer:
@@ -235,13 +267,11 @@ class Scorer:
         self.weights, self.restorer, self.value = weights, restorer, Remembered(self._word)
 
     def _word(self, written: str) -> float:
-        get = self.weights.get
-        return max((get(g, 0.0) for w in words(self.restorer.word(written)) for g in grams(w)), default=0.0)
+        return max((v for w in words(self.restorer.word(written)) for v in map(self.weights.get, grams(w)) if v), default=0.0)
 
     def features(self, text: str) -> list[float]:
-        value = self.value
-        values = [value(w) for w in self.restorer.tokens(text)]
-        hits = [v for v in values if v]
+        values = self.value.all(self.restorer.tokens(text))
+        hits = list(filter(None, values))
         total = sum(hits)
         return [1.0, max(hits, default=0.0), math.log1p(total), total / (len(values) + 20)]
 
@@ -268,8 +298,7 @@ def _gram_counts(model: np.ndarray):
             counts: dict[tuple[str, int], list[int]] = {}
             for text, y, half in zip(texts(batch), batch.column("y").to_pylist(), batch.column("half").to_pylist(), strict=True):
                 found: set[str] = set()
-                for w in set(restorer.tokens(text.decode("utf-8", "replace"))):
-                    found.update(of(w))
+                found.update(*of.all([*set(restorer.tokens(text.decode("utf-8", "replace")))]))
                 for g in found:
                     counts.setdefault((g, half), [0, 0])[int(y)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in counts], pa.string()), pa.array([h for _, h in counts], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["gram", "half", "pos", "neg"])

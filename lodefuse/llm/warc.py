@@ -14,8 +14,9 @@ is neither gathered nor limited.
 Edge cases: null and empty payloads are responses of no bytes; rows repeated with the
 largest identifier are all responses; a null identifier never is the largest, and revisits
 one that isn't null; an empty table makes no bundle and no rows; a null URL leaves the
-header out, and line breaks in one are percent-encoded. Other columns are ignored, whatever
-their names.
+header out; a URL is written as it is, but for line breaks, which a header can't hold: they are
+percent-encoded and stay so; a very long payload is a frame of its own, never cut. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, n_bytes:
     block = http + (payload or b"" if kind == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
-        safe = url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+        safe = url.replace("\r", "%0D").replace("\n", "%0A")
         head.append(f"WARC-Target-URI: {safe}")
     if kind == "revisit":
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -83,10 +84,7 @@ def parsed(data: bytes, at: int = 0) -> tuple[dict, int]:
     payload = block[body:] if kind == "response" else None
     if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"the payload of {head['WARC-Record-ID']} is damaged")
-    url = head.get("WARC-Target-URI")
-    if url is not None:
-        url = url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-    values = (number(head["WARC-Record-ID"]), url, payload, int(http[b"Content-Length"]), digest, kind, number(head.get("WARC-Refers-To")))
+    values = (number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), payload, int(http[b"Content-Length"]), digest, kind, number(head.get("WARC-Refers-To")))
     return dict(zip(COLUMNS, values, strict=True)), start + n + 4
 
 

@@ -8,30 +8,32 @@ them share a fingerprint entry. Window minima are taken by doubling, three passe
 Texts of fewer than k words have one gram of all their words. The likeness of two texts is
 the Jaccard index of their sets of chosen hashes (1 for two texts without words).
 
-The next document is found by dealing rows to ranges of doc_id (quantiles, at most
-``RANGES``), one shuffle of the texts; a range's last document meets the next range's first,
-of which there are no more than ranges.
-
-Edge cases: null text is empty; equal texts have equal fingerprints; rows of equal doc_id
-follow each other by text, so a repeated row's next document is its twin; rows with a null
-doc_id come last; of a single row the next document is itself; an empty table gives no
-rows. Other columns are ignored, whatever their names.
+The next document is found by dealing rows to ranges of doc_id, one shuffle of the texts.
+Ranges grow in number with the rows: quantiles cut the ids, and each part is cut evenly as
+often as it takes. A range's last document meets the next range's first, whose text alone is
+read and fingerprinted once more. Rows that are repeated are one row with a number until the end.
+
+Edge cases: null text is empty; very long texts are fingerprinted whole; equal texts have
+equal fingerprints; rows of equal doc_id follow each other by text, so a repeated row's next
+document is its twin; rows with a null doc_id come last; of a single row the next document is
+itself; an empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodefuse.llm.common import let, literal_rows, slim, table
+from lodefuse.llm.common import let, saved, slim, table
 
 GRAM = 3
 WINDOW = 8  # a power of two
-#: Rows of a range of doc_id, and ranges at most.
-RANGE_ROWS = 1024
-RANGES = 4096
+#: Rows of a range of doc_id, and quantiles that ids are cut at before parts are cut evenly.
+RANGE_ROWS = 4096
+QUANTILES = 1024
 _LONGS = "array<long>"
 
 
@@ -98,53 +100,80 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", places(winnowed(F.col("text"))).alias("entries"))
 
 
-def _range_of(cuts: list[int]) -> Column:
-    """A row's range of doc_id: how many cuts lie below it; -1 for null. Looked up in two levels."""
-    if not cuts:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
+def _range_of(cuts: list[int], low: int, high: int, even: int) -> Column:
+    """A row's range of doc_id, in their order; -1 for null. cuts part low..high, and each part has `even` ranges."""
+    edges = [low, *cuts, high + 1]
     step = math.isqrt(len(cuts)) + 1
-    longs = lambda own: F.array(*[F.lit(x).cast("long") for x in own])
-    below = lambda own: F.aggregate(own, F.lit(0), lambda a, c: a + (c < F.col("doc_id")).cast("int"))
-    fine = F.array(*[longs(cuts[i : i + step]) for i in range(0, len(cuts), step)])
-    number = lambda coarse: F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below(F.get(fine, coarse - 1)))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(let(below(longs(cuts[::step])), number))
-
-
-def with_next(docs: DataFrame, own: DataFrame, carried: list[str]) -> DataFrame:
-    """own (doc_id, text, ... made of docs row by row) with next_<c> of each carried column: of the
-    next row by descending doc_id, then text; of the last, the first's."""
-    ids = docs.select("doc_id")
-    ranges = max(1, min(RANGES, math.ceil(ids.count() / RANGE_ROWS)))
+    longs = lambda own: F.array(*[F.lit(x).cast("long") for x in own]).cast(_LONGS)
+    below = lambda own: F.aggregate(own, F.lit(0), lambda a, c: a + (c <= F.col("doc_id")).cast("int"))
+    fine = F.array(*[longs(cuts[i : i + step]) for i in range(0, len(cuts), step)] or [longs([])])
+    coarse = let(below(longs(cuts[::step])), lambda k: F.when(k == 0, 0).otherwise((k - 1) * step + below(F.get(fine, k - 1))))  # in two levels
+
+    def inside(k: Column) -> Column:
+        a, z = (F.get(longs(edges[i:]), k).cast("double") for i in (0, 1))
+        part = F.floor((F.col("doc_id").cast("double") - a) / (z - a) * even).cast("long")
+        return k.cast("long") * even + F.greatest(F.lit(0).cast("long"), F.least(part, F.lit(even - 1).cast("long")))
+
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(let(coarse, inside))
+
+
+def _ranges(docs: DataFrame) -> Column:
+    """Each row's range, from the ids of all rows."""
+    seen = docs.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    if not seen["n"]:
+        return F.lit(-1).cast("long")
+    ranges = max(1, math.ceil(seen["n"] / RANGE_ROWS))
+    parts = min(QUANTILES, ranges)
     cuts: list[int] = []
-    if ranges > 1:
-        found = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"]
-        cuts = sorted(set(found or []))
-    bucket = _range_of(cuts).cast("int")
-    heads = [(r["bucket"], r["top"]) for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()]  # at most RANGES + 1
-    heads.sort(reverse=True)
+    if parts > 1:
+        found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * QUANTILES).alias("q")).first()["q"]
+        cuts = sorted({x for x in found if x > seen["low"]})
+    return _range_of(cuts, seen["low"], seen["high"], math.ceil(ranges / (len(cuts) + 1)))
+
+
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n): rows once each, with how often they come. Only repeated ones are shuffled."""
+    keyed = docs.select("doc_id", "text", F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("at"), F.xxhash64("text").alias("key"))
+    keys = ["no", "at", "key"]
+    twice = saved(keyed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    once = keyed.join(twice, keys, "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("n"))
+    return once.unionByName(keyed.join(twice, keys).dropDuplicates(keys).select("doc_id", "text", "n"))
+
+
+def with_next(docs: DataFrame, make: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """make(docs) of docs (doc_id, text, ...), row by row, with next_<c> of each carried column: of
+    the next row by descending doc_id, then text; of the last, the first's."""
+    bucket = _ranges(docs).cast("long")
+    own = make(docs)
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
     out = own.withColumn("bucket", bucket)
     out = out.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried} | {"last": F.lead("bucket").over(order).isNull()})
-    if not heads:
-        return out.drop("bucket", "last")
-    # the first row of a range follows the last one of the range above
-    follows = [(heads[i][0], *heads[(i + 1) % len(heads)]) for i in range(len(heads))]
-    plan = F.broadcast(literal_rows(own.sparkSession, "above int, head int, top long", follows))
-    firsts = own.withColumn("bucket", bucket).join(plan, (F.col("bucket") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    firsts = firsts.groupBy("above").agg(F.min_by(F.struct(*carried), "text").alias("first"))
-    met = out.join(firsts, (F.col("bucket") == F.col("above")) & F.col("last"), "left")
+    # the first row of a range follows the last one of the range above; heads are a row a range
+    heads = docs.select(bucket.alias("head"), "doc_id").groupBy("head").agg(F.max("doc_id").alias("top"))
+    down = Window.orderBy(F.desc("head"))
+    heads = saved(heads.withColumn("above", F.coalesce(F.lag("head").over(down), F.min("head").over(Window.partitionBy()))), "heads")
+    firsts = docs.withColumn("bucket", bucket).join(heads, (F.col("bucket") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    firsts = make(firsts.select("above", *docs.columns)).groupBy("above").agg(F.min_by(F.struct(*carried), "text").alias("first"))
+    met = out.join(saved(firsts, "firsts"), (F.col("bucket") == F.col("above")) & F.col("last"), "left")
     return met.select(*own.columns, *[F.when(F.col("last"), F.col(f"first.{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carried])
 
 
+def _made(text: str) -> Column:
+    return let(winnowed(F.col(text)), lambda e: F.struct(digest(e).alias("fingerprint"), hash_set(e).alias("hashes")))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = slim(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    made = let(winnowed(F.col("text")), lambda e: F.struct(digest(e).alias("fingerprint"), hash_set(e).alias("hashes")))
-    own = docs.withColumn("made", made).select("doc_id", "text", "made.fingerprint", "made.hashes")
-    met = with_next(docs, own, ["text", "hashes"])
+    docs = distinct_rows(slim(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))))
+    make = lambda d: d.withColumn("made", _made("text")).select(*d.columns, "made.fingerprint", "made.hashes")
+    met = with_next(docs, make, ["text", "hashes"])
+    # of n equal rows all but one are followed by their twin
+    twin = F.struct((F.col("n") - 1).alias("times"), F.col("text").alias("next_text"), F.col("hashes").alias("next_hashes"))
+    other = F.struct(F.lit(1).cast("long").alias("times"), F.col("next_text"), F.col("next_hashes"))
+    met = met.select("doc_id", "text", "fingerprint", "hashes", F.explode(F.when(F.col("n") > 1, F.array(twin, other)).otherwise(F.array(other))).alias("x")).select("doc_id", "text", "fingerprint", "hashes", "x.*")
     half = F.floor(F.char_length("text") / 2).cast("int")
     met = met.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.concat(F.left("text", F.char_length("text") - half), F.left("next_text", half)))
-    met = met.withColumn("edit", let(winnowed(F.col("edited")), lambda e: F.struct(digest(e).alias("fingerprint"), hash_set(e).alias("hashes"))))
-    return met.select(
+    met = met.withColumn("edit", _made("edited"))
+    out = met.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -153,5 +182,6 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("hashes"), F.col("edit.hashes")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
         F.size("hashes").alias("n_hashes"),
+        "times",
     )
-
+    return out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "time")

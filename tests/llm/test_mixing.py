@@ -98,5 +98,63 @@ def test_shards_are_near_equal(spark, mixed):
     assert set(takings) == set(range(7))
 
 
+def test_shards_below_the_drivers_tree(spark, mixed, monkeypatch):
+    monkeypatch.setattr(mixing, "NODES", 4)
+    rows, docs, plain = mixed
+    out = mixing.mix(docs, shards=22).collect()
+    takings = Counter(x.shard for r in out for x in r.shards)
+    assert set(takings) <= set(range(24)) and len(takings) >= 22
+    assert Counter((r.doc_id, r.source, r.taken) for r in out) == Counter((r.doc_id, r.source, r.taken) for r in plain.collect())
+    assert sorted(map(str, mixing.mix(docs, shards=22).collect())) == sorted(map(str, out))
+
+
+def test_copies_fall_into_many_blocks(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 5000 + [(2, "x " * 100_000, "b")], "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix(docs).collect()
+    assert len(out) == 5001 and sum(r.taken for r in out if r.source == "a") == round(out[0].target if out[0].source == "a" else next(r.target for r in out if r.source == "a"))
+    blocks = Counter(tuple(x.key for x in r.shards) for r in out if r.source == "a")
+    assert len(blocks) > 1000  # each copy has places of its own
+
+
+def test_a_plain_mix_takes_the_same(spark, mixed):
+    """The mix again, by lists: sources, blocks in permuted order, the quota from their fronts."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rows, docs, out = mixed
+    keyed = docs.select("doc_id", "source", F.xxhash64("text").alias("t"), "text").collect()
+    seen, own = Counter(), {}
+    for r in keyed:
+        k = (r.doc_id, r.source, r.t)
+        seen[k] += 1
+        own.setdefault(r.source, []).append((*k, seen[k], count(r.text)))
+    flat = [(d, s, t, c, n) for s, xs in own.items() for d, s, t, c, n in xs]
+    hashed = spark.createDataFrame(flat, "doc_id long, source string, t long, copy long, n long").select("*", F.xxhash64("doc_id", "source", "t", "copy", F.lit(0)).alias("h"), F.xxhash64(F.xxhash64("doc_id", "source", "t", "copy", F.lit(0)), F.lit(3)).alias("inside")).collect()
+    by = {}
+    for r in hashed:
+        by.setdefault(r.source, []).append(r)
+    names = sorted(s for s in by if s is not None) + [None]
+    sizes = [sum(r.n for r in by[s]) for s in names]
+    goal = dict(zip(names, mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    want = Counter()
+    for s, size in zip(names, sizes, strict=True):
+        words = round(goal[s])
+        full, quota = (words // size, words % size) if size else (0, 0)
+        n = max(1, math.isqrt(len(by[s])))
+        blocks = {}
+        for r in by[s]:
+            blocks.setdefault(r.h % n, []).append(r)
+        keys = spark.createDataFrame([(b, s) for b in blocks], "block long, source string").select("block", F.xxhash64("block", "source", F.lit(1)).alias("k")).collect()
+        for b in [r.block for r in sorted(keys, key=lambda r: (r.k, r.block))]:
+            left = min(quota, sum(r.n for r in blocks[b]))
+            quota -= left
+            for r in sorted(blocks[b], key=lambda r: (r.inside, -1 if r.doc_id is None else r.doc_id, r.n)):
+                part = min(r.n, left)
+                left -= part
+                want[r.doc_id, s, full * r.n + part] += 1
+    assert want == Counter((r.doc_id, r.source, r.taken) for r in out.collect())
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

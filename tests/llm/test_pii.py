@@ -102,6 +102,57 @@ def test_added_spans_and_redaction(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_what_is_tried_is_never_narrower_than_its_generator(spark):
+    rng = random.Random(8)
+    pieces = ["john", "example", "com", "at", "dot", "@", ".", " ", "(", ")", "[", "]", "AB12", "CD34", "EF56", "1234", "567", "-", "+", ":", "=", "password", "TOKEN", "api_key", "sk-", "AKIA", "a1b2c3d4e5f6a7b8", "9f" * 16, "a" * 64, "é", "\n"]
+    texts = ["john @ example . com", "john@example dot com", "x" * 64 + "at foo.com", "mail me (at) home [dot] org", "a at b dot cc"]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(2, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", *[F.rlike("t", F.lit(p)).alias(k) for k, p in pii.ADDED.items()], *[F.rlike("t", F.lit(p)).alias(f"try_{k}") for k, p in pii.TRIES.items()]).collect()
+    seen = dict.fromkeys(pii.ADDED, 0)
+    for r in got:
+        for k in pii.ADDED:
+            seen[k] += r[k]
+            assert r[f"try_{k}"] or not r[k], (k, r.t)
+    assert min(seen[k] for k in ("account", "key", "secret", "spelled_mail")) > 5
+
+
+def test_the_sweep_equals_plain_choosing(spark):
+    rng = random.Random(4)
+    lists = []
+    for n in (0, 1, 5, 127, 128, 129, 700):
+        for _ in range(4):
+            own = [(s, s + rng.randint(1, 9), rng.choice("ab"), rng.choice([float("inf"), rng.random(), 0.5])) for s in (rng.randrange(3 * n + 1) for _ in range(n))]
+            lists.append(sorted(own))
+    df = spark.createDataFrame([(x,) for x in lists], "items array<struct<start:long,end:long,kind:string,p:double>>")
+    for r in df.select("items", pii._swept(F.col("items"), pii._apart).alias("a"), pii._swept(F.col("items"), pii._united).alias("u")).collect():
+        last, kept, united = None, [], []
+        for x in map(tuple, r["items"]):
+            if last is None or x[0] >= last[1]:
+                if last and last[3] < float("inf"):
+                    kept.append(last)
+                last = x
+            elif x[3] == last[3] == float("inf"):
+                last = (x[0], max(x[1], last[1]), x[2], x[3])
+            elif x[3] > last[3]:
+                last = x
+            if united and x[0] < united[-1][1]:
+                united[-1] = (united[-1][0], max(united[-1][1], x[1]), *united[-1][2:])
+            else:
+                united.append(x)
+        kept += [last] if last and last[3] < float("inf") else []
+        assert [tuple(x) for x in r["a"] if x["p"] < float("inf")] == kept
+        assert [tuple(x) for x in r["u"]] == united
+        base = [x for x in r["items"] if x["p"] == float("inf")]
+        assert not any(x.start < b.end and b.start < y for x in r["a"] if x.p < float("inf") for b in base for y in [x.end])
+
+
+def test_a_long_text_of_candidates(spark):
+    text = " ".join(f"call 555-{i % 900 + 100}-{i % 9000 + 1000}" for i in range(8000))
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(r.added) == 8000
+
+
 def test_running_sums_over_blocks(spark):
     values = [i % 7 for i in range(1000)]
     df = spark.createDataFrame([(values,), (values[:128],), (values[:1],)], "a array<long>")

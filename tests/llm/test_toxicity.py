@@ -47,7 +47,7 @@ def test_viterbi_is_the_cheapest_path(fitted):
     for word in ("st0ne", "wwinnter", "br3@d", "mu$1c", "l|77er", "gg4rdenn", "!diot", "a$$", "fuuck", "st0ne!!", "letter", "w-1nd0w"):
         places = toxicity.lattice(word)
         cost, read = brute(places, fitted.language)
-        assert toxicity.viterbi(places, fitted.language) == read
+        assert toxicity.viterbi(places, toxicity.costs(fitted.language)) == read
 
 
 def test_trigram_counts_equal_plain_counting():

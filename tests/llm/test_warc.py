@@ -27,7 +27,7 @@ def test_bundle_random_access_and_plain_zstd():
     assert len(bundle.frames) > 5
     for i in (0, 17, 49):
         got = bundle.record(i)
-        assert got["payload"] == rows[i][0] and got["payload_digest"] == rows[i][1] and got["url"] == f"http://x/{i}\r\nEvil: 1 %0A"
+        assert got["payload"] == rows[i][0] and got["payload_digest"] == rows[i][1] and got["url"] == f"http://x/{i}%0D%0AEvil: 1 %0A"
     assert max(asked) < len(data) / 2
     import zstandard
 
@@ -35,6 +35,21 @@ def test_bundle_random_access_and_plain_zstd():
     assert plain.count(b"WARC/1.1\r\n") == 50  # any reader that skips skippable frames
 
 
+def test_urls_are_written_as_they_are():
+    url = "http://x/a%20b?q=%25&z=é"
+    data = warc.record(1, url, b"p", 1, hashlib.sha1(b"p").hexdigest(), "response", None)
+    assert f"WARC-Target-URI: {url}\r\n".encode() in data
+    assert warc.parsed(data)[0]["url"] == url
+
+
+def test_a_very_long_payload(spark, tmp_path):
+    long = "long text " * 500_000
+    path = f"file://{tmp_path}/long"
+    warc.write_bundles(warc.records(spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "x")], "page_id long, url string, html string")), path)
+    got = {r.page_id: r for r in warc.read_bundles(spark, path).collect()}
+    assert got[2].payload.decode() == long and got[1].refers_to == 2 and got[1].payload_bytes == len(long) and got[3].record_type == "response"
+
+
 def test_damage_is_found():
     data = warc.record(1, None, b"abc", 3, hashlib.sha1(b"abd").hexdigest(), "response", None)
     with pytest.raises(ValueError):

@@ -96,6 +96,28 @@ def test_query(spark, frame, tmp_path, monkeypatch):
     assert sum(r.near_edited > r.near_next for r in long) >= 0.9 * len(long)
 
 
+def test_ranges_follow_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", 10)
+    monkeypatch.setattr(winnowing, "QUANTILES", 4)
+    rng = random.Random(3)
+    ids = [*range(100), *(rng.randrange(10**15) for _ in range(100)), -(2**62), 2**62, 5, 5, None]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = df.withColumn("b", winnowing._ranges(df)).collect()
+    known = sorted((r.doc_id, r.b) for r in got if r.doc_id is not None)
+    assert [b for _, b in known] == sorted(b for _, b in known) and len({b for _, b in known}) > 8
+    assert [r.b for r in got if r.doc_id is None] == [-1]
+
+
+def test_many_repeated_rows_and_a_long_text(spark, tmp_path):
+    rows = [(7, "again and again")] * 3000 + [(8, "w " * 60_000 + "end"), (6, "six words are in this text"), (None, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = winnowing.op8_winnowing(spark, str(tmp_path)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    want = [hashlib.sha256(edited(t or "", order[(i + 1) % len(order)][1] or "").encode()).hexdigest() for i, (_, t) in enumerate(order)]
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id == 7) == 2999
+
+
 def test_single_row_and_none(spark, tmp_path):
     one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     one.write.parquet(f"{tmp_path}/documents.parquet")
