@@ -50,9 +50,60 @@ def profile(df: DataFrame, column: str) -> DataFrame:
         F.when(F.count_if(~F.rlike(c, F.lit(r"^-?\d+$"))) == 0, "int").when(F.count_if(~F.rlike(c, F.lit(r"^-?\d+(\.\d+)?$"))) == 0, "float").otherwise("text").alias("class"),
         F.min(c).alias("least"),
         F.max(c).alias("greatest"),
+        F.avg(c.try_cast("double")).alias("mean"),
     )
 
 
+def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """(value, n): a column's most frequent values, of equally frequent ones the least."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
+
+
+def lift(raw: DataFrame, state: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, raw, enriched, total): how many rows have a value before and after enrichment; a column that raw lacks has none."""
+    total = F.count("*").alias("total")
+    has = lambda f: F.count_if(F.col(f).isNotNull() & (F.col(f).cast("string") != "")) if f in raw.columns else F.lit(0).cast("long")
+    before = raw.agg(total, *[has(f).alias(f) for f in fields]).unpivot(["total"], fields, "field", "raw")
+    after = state.where(F.col("field").isin(fields) & ~F.col("source").isin("UNKNOWN", "UNKNOWN-pending", "DROPPED_bad_data")).groupBy("field").agg(F.count("*").alias("enriched"))
+    return before.join(after, "field", "left").select("field", "raw", F.coalesce("enriched", F.lit(0)).alias("enriched"), "total")
+
+
+def answerable(df: DataFrame, questions: dict[str, Column]) -> DataFrame:
+    """(question, n, total, share): on how many rows each question can be answered, by a condition on one row."""
+    counts = df.agg(F.count("*").alias("total"), *[F.count_if(c).alias(q) for q, c in questions.items()])
+    return counts.unpivot(["total"], list(questions), "question", "n").select("question", "n", "total", (F.col("n") / F.col("total")).alias("share"))
+
+
+def scatter(points: DataFrame, gazetteer: DataFrame, box: dict[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame]:
+    """((kind, n) of a gazetteer, the points whose latitude and longitude lie in the box)."""
+    kinds = gazetteer.groupBy("kind").agg(F.count("*").alias("n"))
+    return kinds, points.where(" AND ".join(f"{c} BETWEEN {low} AND {high}" for c, (low, high) in box.items()))
+
+
+def store_checks(images: DataFrame, vectors: DataFrame, allowed: dict[str, list[str]], seen: int | None = None) -> DataFrame:
+    """(check, bad): a vector store's nine invariants, each with how many rows break it.
+
+    images: (image_id, index_kind, label); vectors: (image_id, index_kind, embedding); seen: files on disk, if counted.
+    """
+    kinds = sorted(k for k in allowed if k != "dropped")
+    rows = images.groupBy("index_kind").agg(F.count("*").alias("n"))
+    stored = vectors.groupBy("index_kind").agg(F.count("*").alias("v"))
+    gaps = rows.join(stored, "index_kind", "full").select("index_kind", F.abs(F.coalesce("n", F.lit(0)) - F.coalesce("v", F.lit(0))).alias("bad"))
+    wrong = lambda k: (F.col("index_kind") == k) & ~F.coalesce(F.col("label").cast("string").isin(allowed[k]), F.lit(False))
+    of_images = images.agg(
+        F.abs(F.count("*") - F.lit(seen)).alias("rows_on_disk") if seen is not None else F.lit(0).cast("long").alias("rows_on_disk"),
+        *[F.count_if(wrong(k)).alias(f"labels_{k}") for k in sorted(allowed)],
+        (F.count("image_id") - F.count_distinct("image_id")).alias("repeated_ids"),
+    )
+    from lodefuse.functions.vectors import norm
+
+    broken = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    of_vectors = vectors.agg(F.count_if(broken).alias("not_finite"), F.count_if(~broken & ~norm(F.col("embedding")).between(0.99, 1.01)).alias("not_unit"))
+    long = lambda df: df.unpivot([], df.columns, "check", "bad")
+    counted = gaps.where(F.col("index_kind").isin(kinds)).select(F.concat(F.lit("rows_"), "index_kind").alias("check"), "bad")
+    return long(of_images).unionByName(long(of_vectors)).unionByName(counted)
+
+
 def repeated(df: DataFrame, key: str, value: str) -> DataFrame:
     """Keys with more than one distinct value."""
     return df.groupBy(key).agg(F.count_distinct(value).alias("n")).where("n > 1")

@@ -8,17 +8,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates that MMR takes at most: it is sequential, k times the pool.
-POOL = 300
+from lodefuse.sources.shared import stored
+
 #: Rows of a block that is cut to its own frontier.
 BLOCK_ROWS = 1000
+#: Blocks that are merged to one.
+MERGED = 16
 
 
 def pareto(df: DataFrame, key: str, minimise: list[str], maximise: list[str] = ()) -> DataFrame:
     """Rows that no other row dominates; null is worst, equal rows stay together.
 
-    Rows are first cut to the frontier of their own block, in parallel; only block frontiers
-    meet each other.
+    Rows are first cut to the frontier of their own block, in parallel; frontiers are then
+    merged block by block, so that no task compares more than a few frontiers.
     """
     axes = [F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))) for c in minimise] + [F.coalesce(-F.col(c).cast("double"), F.lit(float("inf"))) for c in maximise]
     names = [f"axis{i}" for i in range(len(axes))]
@@ -32,23 +34,38 @@ def pareto(df: DataFrame, key: str, minimise: list[str], maximise: list[str] = (
     else:
         others = blocked.select(F.col("block").alias("o_block"), *[F.col(n).alias(f"o_{n}") for n in names]).distinct()
         local = blocked.join(others, (F.col("block") == F.col("o_block")) & no_worse & better, "left_anti")
-    other = local.select(*[F.col(n).alias(f"o_{n}") for n in names]).distinct()
-    return local.join(other, no_worse & better, "left_anti").drop("block", *names)
+    return _merged(local, names, no_worse & better).drop("block", *names)
+
+
+def _merged(local: DataFrame, names: list[str], worse: Column) -> DataFrame:
+    """Frontiers of blocks merged two by two, each time cut to the frontier of both."""
+    now = stored(local, "frontier")
+    blocks = now.agg(F.max("block")).first()[0] or 0
+    while True:
+        now = now.withColumn("block", F.floor(F.col("block") / MERGED).cast("long"))
+        others = now.select(F.col("block").alias("o_block"), *[F.col(n).alias(f"o_{n}") for n in names]).distinct()
+        now = stored(now.join(others, (F.col("block") == F.col("o_block")) & worse, "left_anti"), "frontier")
+        blocks //= MERGED
+        if not blocks:
+            return now
 
 
-def mmr(pool: DataFrame, key: str, relevance: str, dims: dict[str, float | None], k: int, lam: float = 0.5) -> DataFrame:
+def mmr(pool: DataFrame, key: str, relevance: str, dims: dict[str, float | None], k: int, lam: float = 0.7) -> DataFrame:
     """(key, place): greedy choice of k, relevance against the likeness to those chosen.
 
-    dims: by column, the bucket width of a number or None for a category. A null dimension
-    differs by nothing but counts. Of equals the first in order of relevance and key wins.
+    dims: by column, the bucket width of a number (to the nearest multiple, half to even) or
+    None for a category. A null dimension differs by nothing but counts; a null relevance is 0.
+    Of equals the first in order of relevance and key wins. The choice is sequential by
+    nature, so the pool, a page's candidates, is held by one task, all of it.
     """
     if not 0 <= lam <= 1:
         raise ValueError("lambda must lie between 0 and 1")
     kind = dict(pool.dtypes)[key]
 
     def chosen(rows: pd.DataFrame) -> pd.DataFrame:
+        rows[relevance] = rows[relevance].fillna(0.0)
         rows = rows.sort_values([relevance, key], ascending=[False, True], kind="stable").reset_index(drop=True)
-        marks = {c: rows[c].where(rows[c].notna(), None) if width is None else (rows[c] // width).where(rows[c].notna()) for c, width in dims.items()}
+        marks = {c: rows[c].where(rows[c].notna(), None) if width is None else (rows[c] / width).round().where(rows[c].notna()) for c, width in dims.items()}
         left, picked = list(range(len(rows))), []
         far = [1.0] * len(rows)  # the least distance to those picked
         while left and len(picked) < k:
@@ -60,5 +77,4 @@ def mmr(pool: DataFrame, key: str, relevance: str, dims: dict[str, float | None]
                 far[i] = apart if len(picked) == 1 else min(far[i], apart)
         return pd.DataFrame({key: rows[key][picked].values, "place": range(1, len(picked) + 1)})
 
-    top = pool.orderBy(F.desc(relevance), F.asc(key)).limit(POOL).select(key, relevance, *dims)
-    return top.groupBy().applyInPandas(chosen, f"{key} {kind}, place int")
+    return pool.select(key, F.col(relevance).cast("double").alias(relevance), *dims).groupBy().applyInPandas(chosen, f"{key} {kind}, place int")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodefuse.functions.text import says
+from lodefuse.functions.features import MENTIONS, feature
+from lodefuse.functions.text import html_text, language, says
 from lodefuse.operators.signals import majority, nearest
 
 PENDING, UNKNOWN, DROPPED, ORIGINAL = "UNKNOWN-pending", "UNKNOWN", "DROPPED_bad_data", "original"
@@ -70,6 +71,20 @@ def violations(state: DataFrame) -> DataFrame:
     )
 
 
+def extracted(state: DataFrame, listings: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The state with features that titles and descriptions mention (1) or deny (0), where they are still pending.
+
+    listings: (listing_id, title, description). The language is that of the text, German where it can't be told.
+    """
+    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+    own = listings.select("listing_id", html_text(text).alias("text")).where("text IS NOT NULL")
+    own = own.withColumn("lang", F.when(language(F.col("text")) == "unk", "de").otherwise(language(F.col("text"))))
+    hits = F.array(*[F.struct(F.lit(f"feature_{n}").alias("field"), feature(n, F.col("text"), F.col("lang")).alias("h")) for n in names or MENTIONS])
+    found = own.select("listing_id", F.inline(F.filter(hits, lambda x: x["h"].isNotNull())))
+    proposals = found.select("listing_id", "field", F.col("h.filled").alias("value"), F.col("h.source").alias("by"), F.col("h.confidence").alias("sure"), F.col("h.raw").alias("said"))
+    return overlay(state, proposals)
+
+
 def stale(docs: DataFrame, stored: DataFrame, key: str = "listing_id") -> DataFrame:
     """Rows whose document hash is new or differs from the stored one."""
     return docs.join(stored.select(key, F.col("doc_hash").alias("old")), key, "left").where("old IS NULL OR old <> doc_hash").drop("old")
@@ -98,7 +113,7 @@ def voted(rows: DataFrame, known: DataFrame, key: str, field: str) -> DataFrame:
     """Proposals for a field from the majority of those who share a key: known (key, field), rows (listing_id, key)."""
     votes = majority(known, key, field)
     out = rows.join(votes, key)
-    return out.select("listing_id", F.lit(field).alias("field"), F.col(field).cast("string").alias("value"), F.lit("majority_vote").alias("by"), F.col("confidence").cast("double").alias("sure"), F.concat_ws("/", "n", "total").alias("said"))
+    return out.select("listing_id", F.lit(field).alias("field"), F.col(field).cast("string").alias("value"), F.lit("plz_majority_vote").alias("by"), F.col("confidence").cast("double").alias("sure"), F.format_string("plz_vote:%d|%d", "n", "total").alias("said"))
 
 
 def cached(rows: DataFrame, cache: DataFrame, field: str, digits: int = 4, sure: float = 0.9) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
@@ -9,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodefuse.functions.geo import haversine_km
-from lodefuse.functions.text import slug, token_sort
+from lodefuse.functions.text import slug, slug_of, token_sort
 
 NEAR_M = 3000.0
+#: What a landmark key is made of.
+KEY = re.compile(r"\w+")
 
 # fixed values: feature names and the columns that hold them
 FEATURES = {
@@ -63,15 +66,22 @@ class FilterSpec:
     longitude: float | None = None
     radius_km: float | None = None
     sort_by: str | None = None
-    limit: int | None = 20
-    offset: int = 0
+    limit: int | None = None
+    offset: int | None = None
+    soft: dict | None = None
 
     def merged(self, override: FilterSpec) -> FilterSpec:
-        """This spec with what another sets."""
+        """This spec with what another sets; soft preferences are taken key by key."""
         given = {f.name: getattr(override, f.name) for f in fields(self)}
+        if override.soft is not None:
+            given["soft"] = {**(self.soft or {}), **{k: v for k, v in override.soft.items() if v is not None}}
         return replace(self, **{k: v for k, v in given.items() if v is not None})
 
 
+#: Rows of a page whose spec names no limit.
+PAGE_ROWS = 20
+
+
 def _asked(values: list[str] | None) -> list[str]:
     return [v.strip() for v in values or [] if v and v.strip()]
 
@@ -79,7 +89,7 @@ def _asked(values: list[str] | None) -> list[str]:
 def predicate(spec: FilterSpec) -> Column:
     """All clauses on a listing's own columns."""
     clauses: list[Column] = [F.lit(True)]
-    if city := _asked(spec.city):
+    if city := [x for v in _asked(spec.city) if (x := slug_of(v))]:
         clauses.append(F.col("city_slug").isin(city))
     if spec.postal_code:
         clauses.append(F.col("postal_code").isin(spec.postal_code))
@@ -112,7 +122,7 @@ def predicate(spec: FilterSpec) -> Column:
 def gate(listings: DataFrame, spec: FilterSpec, distances: DataFrame | None = None) -> DataFrame:
     """Listings that pass; distances (listing_id, landmark_key, dist_m) are read only if landmarks are asked for."""
     out = listings.where(predicate(spec))
-    if keys := _asked(spec.near_landmarks):
+    if keys := [k for k in _asked(spec.near_landmarks) if KEY.fullmatch(k)]:  # other keys name no landmark
         near = distances.where(F.col("landmark_key").isin(keys) & (F.col("dist_m") < NEAR_M)).select("listing_id")
         out = out.join(near, "listing_id", "left_semi")
     if spec.radius_km is not None and spec.latitude is not None and spec.longitude is not None:
@@ -135,16 +145,52 @@ def order(spec: FilterSpec) -> list[Column]:
 def page(gated: DataFrame, spec: FilterSpec) -> DataFrame:
     out = gated.orderBy(*order(spec))
     out = out.offset(spec.offset) if spec.offset else out
-    return out.limit(spec.limit) if spec.limit is not None else out
+    return out.limit(PAGE_ROWS if spec.limit is None else spec.limit)
 
 
 def map_points(listings: DataFrame, spec: FilterSpec) -> DataFrame:
     """Coordinates of all that pass, without paging."""
-    whole = replace(spec, limit=None, offset=0)
-    found = gate(listings, whole).where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    found = gate(listings, spec).where("latitude IS NOT NULL AND longitude IS NOT NULL")
     return found.select("listing_id", "latitude", "longitude", "price", F.col("area").cast("int").alias("area"))
 
 
+# fixed values: bounds of a price that can be, and the box that the country lies in
+PRICE_BOUNDS = (200, 50_000)
+BOX = {"latitude": (45.8, 47.9), "longitude": (5.9, 10.5)}
+
+
+def bad_price() -> Column:
+    """A price that is given but cannot be: above 0 and too low, or too high."""
+    return F.coalesce((F.col("price") > 0) & (F.col("price") < PRICE_BOUNDS[0]) | (F.col("price") > PRICE_BOUNDS[1]), F.lit(False))
+
+
+def bad_rooms() -> Column:
+    return F.coalesce(F.col("rooms") == 0, F.lit(False))
+
+
+def null_island() -> Column:
+    return F.coalesce((F.col("latitude") == 0) & (F.col("longitude") == 0), F.lit(False))
+
+
+def inside(box: dict[str, tuple[float, float]] = BOX) -> Column:
+    """Whether a listing has a place within the box."""
+    within = [F.col(c).between(*bounds) for c, bounds in box.items()]
+    return F.coalesce(reduce(Column.__and__, within), F.lit(False))
+
+
+def with_enriched(listings: DataFrame, enriched: DataFrame, fields: tuple[str, ...] = ("canton",)) -> DataFrame:
+    """Listings with the enriched values of these fields in place of their own; none is dropped, and unknown ones are null.
+
+    enriched: one row a listing with <field>_filled and <field>_source.
+    """
+    own = enriched.select("listing_id", *[F.when(~F.col(f"{f}_source").isin(*NOT_FILLED), F.col(f"{f}_filled")).alias(f) for f in fields])
+    return listings.drop(*fields).join(own, "listing_id", "left")
+
+
+# fixed values: sources of a field that holds no value
+NOT_FILLED = ("UNKNOWN", "UNKNOWN-pending", "DROPPED_bad_data")
+
+
 def resolve_landmarks(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(name, key): names as landmark keys, by key, then slugged alias, then the alias's words in any order.
 

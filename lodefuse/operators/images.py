@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodefuse.functions.vectors import dot
 
 
+#: Query vectors that are sent to the images at once.
+BLOCK = 1000
+
+
+def against(rows: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """Every row with every query of a stated set, which is sent to the rows in blocks of about BLOCK."""
+    n = queries.count()
+    blocks = -(-n // BLOCK) or 1
+    if blocks == 1:
+        return rows.crossJoin(F.broadcast(queries))
+    part = lambda i: queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
+    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(part(i))) for i in range(blocks)])
+
+
 def image_id(c: Column) -> tuple[Column, Column, Column]:
     """(source, platform_id, stem) of an id source/platform/stem.ext."""
     part = lambda i: F.nullif(F.split_part(c, F.lit("/"), F.lit(i)), F.lit(""))
@@ -24,10 +40,10 @@ def best_image(images: DataFrame, query: DataFrame) -> DataFrame:
 def batch_search(images: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, listing_id, score, image_id, place): the k best listings of each query, by their best image.
 
-    queries (query_id, embedding) are a page of questions; they are sent to the images.
+    queries (query_id, embedding) go to the images in blocks of at most BLOCK.
     """
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
-    scored = images.crossJoin(q).select("query_id", "listing_id", "image_id", dot(F.col("embedding"), F.col("q")).alias("s"))
+    own = queries.select("query_id", F.col("embedding").alias("q"))
+    scored = against(images, own, "query_id").select("query_id", "listing_id", "image_id", dot(F.col("embedding"), F.col("q")).alias("s"))
     best = scored.groupBy("query_id", "listing_id").agg(F.max("s").alias("score"), F.min_by("image_id", F.struct(-F.col("s"), F.col("image_id"))).alias("image_id"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "listing_id")
     return best.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
@@ -45,8 +61,8 @@ def orphans(images: DataFrame, metadata: DataFrame, key: str = "image_id") -> Da
 
 def self_match(images: DataFrame, sample: DataFrame) -> DataFrame:
     """(image_id, ok): whether each sampled image is its own nearest."""
-    q = F.broadcast(sample.select(F.col("image_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = images.crossJoin(q).groupBy("query_id").agg(F.min_by("image_id", F.struct(-dot(F.col("embedding"), F.col("q")), F.col("image_id"))).alias("top"))
+    own = sample.select(F.col("image_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = against(images, own, "query_id").groupBy("query_id").agg(F.min_by("image_id", F.struct(-dot(F.col("embedding"), F.col("q")), F.col("image_id"))).alias("top"))
     return scored.select(F.col("query_id").alias("image_id"), (F.col("top") == F.col("query_id")).alias("ok"))
 
 

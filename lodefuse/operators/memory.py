@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodefuse.functions.vectors import dot, norm
+from lodefuse.functions.vectors import dot, norm, unit
+from lodefuse.operators.images import against
 
 # fixed values: weights by kind of interaction
 WEIGHTS = {"save": 3.0, "unsave": -3.0, "like": 3.0, "unlike": -3.0, "bookmark": 5.0, "unbookmark": -5.0, "click": 1.0, "dismiss": -2.0, "undismiss": 2.0}
@@ -65,11 +66,42 @@ def price_range(stats: DataFrame) -> DataFrame:
 
 def centroid(vectors: DataFrame, by: list[str], column: str = "embedding") -> DataFrame:
     """(by..., vector): mean of vectors; dimensions are averaged apart, so no group is gathered."""
-    long = vectors.select(*by, F.posexplode(column).alias("i", "x"))
-    means = long.groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return pooled(vectors, by, column, F.avg(F.col("x").cast("double")))
+
+
+def pooled(vectors: DataFrame, by: list[str], column: str, how: Column) -> DataFrame:
+    """(by..., vector): `how` aggregates the values x of each dimension."""
+    means = vectors.select(*by, F.posexplode(column).alias("i", "x")).groupBy(*by, "i").agg(how.alias("m"))
     return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
 
 
+def gem(vectors: DataFrame, by: list[str], column: str = "embedding", p: float = 3.0) -> DataFrame:
+    """(by..., vector): generalized mean of values of at least 1e-6, brought to length one."""
+    mean = F.pow(F.avg(F.pow(F.greatest(F.col("x").cast("double"), F.lit(1e-6)), p)), F.lit(1.0 / p))
+    return pooled(vectors, by, column, mean).withColumn("vector", unit(F.col("vector")))
+
+
+def visual_taste(pool: DataFrame, images: DataFrame, liked: DataFrame) -> DataFrame:
+    """(listing_id, score): cosine of a listing's mean image to the mean of the images of liked listings in the pool.
+
+    images: (listing_id, embedding). Listings without an image are left out; without liked images nothing is scored.
+    """
+    own = images.join(pool.select("listing_id"), "listing_id", "left_semi")
+    taste = centroid(own.join(liked.select("listing_id"), "listing_id", "left_semi").withColumn("one", F.lit(1)), ["one"])
+    taste = taste.select(unit(F.col("vector")).alias("q")).where("q IS NOT NULL")
+    met = centroid(own, ["listing_id"]).crossJoin(F.broadcast(taste))  # one row
+    return met.select("listing_id", dot(unit(F.col("vector")), F.col("q")).alias("score")).where("score IS NOT NULL")
+
+
+def feature_score(pool: DataFrame, taste: DataFrame, flags: list[str]) -> DataFrame:
+    """(listing_id, score): a user's taste (feature, taste) times having (1) or lacking (-1) each feature; no taste scores nothing."""
+    signed = F.create_map(*[x for f in flags for x in (F.lit(f), F.when(F.coalesce(F.col(f) == 1, F.lit(False)), 1.0).otherwise(-1.0))])
+    own = taste.where(F.col("feature").isin(flags)).agg(F.map_from_entries(F.collect_list(F.struct("feature", "taste"))).alias("t"))  # one row of as many features as there are
+    some = F.exists(F.map_values("t"), lambda x: F.abs(x) >= 1e-9)
+    total = F.aggregate(F.map_entries("t"), F.lit(0.0), lambda a, e: a + e["value"] * F.try_element_at(signed, e["key"]))
+    return pool.crossJoin(F.broadcast(own.where(some))).select("listing_id", total.alias("score"))
+
+
 def semantic_taste(pool: DataFrame, vectors: DataFrame, liked: DataFrame, disliked: DataFrame) -> DataFrame:
     """(listing_id, score): cosine to the mean of liked minus half the mean of disliked."""
     pos = centroid(vectors.join(liked, "listing_id", "left_semi").withColumn("one", F.lit(1)), ["one"]).select(F.col("vector").alias("p"), "one")
@@ -85,9 +117,9 @@ def demoted(pool: DataFrame, vectors: DataFrame, dismissed: DataFrame, cold: boo
     if cold:
         sunken = F.coalesce("gone", F.lit(False))
     else:
-        near = F.broadcast(vectors.join(pool.select("listing_id"), "listing_id", "left_semi").select("listing_id", "embedding"))  # a pool is cut to a few hundred
+        near = vectors.join(pool.select("listing_id"), "listing_id", "left_semi").select("listing_id", F.col("embedding"))
         bad = vectors.join(dismissed, "listing_id", "left_semi").select(F.col("embedding").alias("bad"))
-        close = bad.crossJoin(near).groupBy("listing_id").agg(F.max(dot(F.col("embedding"), F.col("bad"))).alias("top"))
+        close = against(bad, near, "listing_id").groupBy("listing_id").agg(F.max(dot(F.col("embedding"), F.col("bad"))).alias("top"))
         own = own.join(close, "listing_id", "left")
         sunken = F.coalesce("gone", F.lit(False)) | F.coalesce(F.col("top") > limit, F.lit(False))
     return own.withColumn("sunken", sunken).select("listing_id", "pool_pos", "sunken", F.row_number().over(Window.orderBy("sunken", "pool_pos")).alias("place"))

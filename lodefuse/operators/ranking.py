@@ -81,8 +81,11 @@ def reason(bm25: Column, dense: Column, soft: Column, memory: Column) -> Column:
 
 
 def feature_similarity(canton_same: Column, category_same: Column, rooms: Column, base_rooms: Column, price: Column, base_price: Column) -> Column:
-    """2 for an equal canton, 0.5 for an equal category, and closeness in rooms and relative price if the base has both."""
+    """2 for an equal canton, 0.5 for an equal category, and closeness in rooms and relative price if the base has both.
+
+    Unknown rooms count as none; a price that is unknown or not positive is close to nothing.
+    """
     known = base_rooms.isNotNull() & base_price.isNotNull() & (base_price != 0)
-    near = lambda x: F.coalesce(1.0 / (1.0 + x), F.lit(0.0))
-    scalars = near(F.abs(rooms - base_rooms)) + near(F.abs(price - base_price) / base_price)
+    near = lambda x: F.lit(1.0) / (1.0 + x)
+    scalars = near(F.abs(F.coalesce(rooms, F.lit(0)) - base_rooms)) + F.when(price > 0, near(F.abs(price - base_price) / base_price)).otherwise(0.0)
     return F.coalesce(canton_same.cast("double"), F.lit(0.0)) * 2 + F.coalesce(category_same.cast("double"), F.lit(0.0)) * 0.5 + F.when(known, scalars).otherwise(0.0)

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodefuse.functions.geo import DEGREE_KM, cell, haversine_km, neighbours
+from lodefuse.sources.shared import stored
 
 MIN_BUCKET = 5
 #: Rows of a gazetteer that may be broadcast.
 BROADCAST_ROWS = 20_000
+# fixed values: votes that count as many, and as few
+MANY_VOTES, FEW_VOTES = 5, 3
 
 
 def rooms_bucket(rooms: Column) -> Column:
@@ -88,6 +91,7 @@ def nearest(points: DataFrame, targets: DataFrame, first_km: float | None = None
     radius = first_km or _typical_km(targets)
     for _ in range(rounds):
         found = within(left, targets, radius).groupBy("id").agg(F.min(F.struct("dist_km", "target_id")).alias("m")).select("id", "m.target_id", "m.dist_km")
+        found = stored(found, "ring")  # the next ring and the result read it
         out.append(found)
         if radius > 20_100:
             break
@@ -104,16 +108,14 @@ def nearest(points: DataFrame, targets: DataFrame, first_km: float | None = None
 def distances(points: DataFrame, landmarks: DataFrame, cutoff_km: float | None = None) -> DataFrame:
     """Every point with every landmark, within the cutoff.
 
-    A gazetteer of up to BROADCAST_ROWS is sent to the points; a larger one meets them on
-    the grid if there is a cutoff, and else pairs are made by shuffled blocks.
+    With a cutoff they meet on a grid; without one, or with one of continents, the gazetteer
+    is sent to the points and must not have more than BROADCAST_ROWS.
     """
-    if landmarks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = points.crossJoin(F.broadcast(landmarks))
-    elif cutoff_km is not None:
+    if cutoff_km is not None and cutoff_km < 1000:
         return within(points.where("lat IS NOT NULL AND lon IS NOT NULL"), landmarks, cutoff_km)
-    else:
-        pairs = points.crossJoin(landmarks)
-    out = pairs.withColumn("dist_km", haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")))
+    if landmarks.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"every point with every one of over {BROADCAST_ROWS} landmarks: give a cutoff")
+    out = points.crossJoin(F.broadcast(landmarks)).withColumn("dist_km", haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")))
     return out.where(F.col("dist_km") <= cutoff_km) if cutoff_km is not None else out
 
 
@@ -150,8 +152,13 @@ def majority(df: DataFrame, key: str, value: str) -> DataFrame:
     whole = Window.partitionBy(key)
     top = counts.withColumn("total", F.sum("n").over(whole)).withColumn("rn", F.row_number().over(whole.orderBy(F.desc("n"), F.asc(value)))).where("rn = 1")
     share = F.col("n") / F.col("total")
-    ladder = F.when((F.col("total") >= 10) & (share == 1), 0.85).when((F.col("total") >= 5) & (share >= 0.9), 0.75).when(share >= 0.8, 0.65).when(share >= 0.6, 0.60).otherwise(0.45)
-    return top.select(key, value, "n", "total", ladder.alias("confidence"))
+    return top.select(key, value, "n", "total", vote_confidence(share, F.col("total")).alias("confidence"))
+
+
+def vote_confidence(share: Column, total: Column) -> Column:
+    """How sure a vote is: near agreement counts by how many voted, a mere majority little."""
+    many, few = total >= MANY_VOTES, total <= FEW_VOTES
+    return F.when((share >= 1) & many, 0.85).when((share >= 0.95) & many, 0.75).when((share >= 0.95) & few, 0.65).when(share >= 0.75, 0.60).otherwise(0.45)
 
 
 def stop_profiles(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:

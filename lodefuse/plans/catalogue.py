@@ -11,9 +11,10 @@ from lodefuse.functions import text as tx
 from lodefuse.functions.vectors import dot, norm, softmax
 from lodefuse.operators import audit, bm25, diversify, enrich, entities, explain, images, memory, ranking
 from lodefuse.operators import signals as sg
-from lodefuse.operators.gate import FilterSpec, gate, map_points, page, resolve_landmarks
+from lodefuse.operators.gate import NEAR_M, FilterSpec, bad_price, bad_rooms, gate, inside, map_points, null_island, page, resolve_landmarks, with_enriched
 from lodefuse.plans import datasets as ds
 from lodefuse.plans import search
+from lodefuse.sources.shared import new_path
 from lodefuse.streaming import interactions
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +77,7 @@ def _(spark, d):
 
 def _landmark_distances(spark, d):
     own = ds.listings(spark, d).where("latitude IS NOT NULL").select("listing_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    return sg.distances(own, ds.landmarks(spark, d)).select("listing_id", F.col("landmark").alias("landmark_key"), (F.col("dist_km") * 1000).alias("dist_m"))
+    return sg.distances(own, ds.landmarks(spark, d), NEAR_M / 1000).select("listing_id", F.col("landmark").alias("landmark_key"), (F.col("dist_km") * 1000).alias("dist_m"))
 
 
 @query("gate_any_of_landmark", ds.sql_with(listings=(ds.LISTINGS, "part"), landmarks=(ds.LANDMARKS, "nation")) + f" SELECT listing_id FROM listings WHERE EXISTS (SELECT 1 FROM landmarks WHERE landmark IN (SELECT n_name FROM nation WHERE n_nationkey < 6) AND {ds.km('latitude', 'longitude', 'tlat', 'tlon')} * 1000 < 3000)")
@@ -101,6 +102,47 @@ def _(spark, d):
     return gate(ds.listings(spark, d), FilterSpec(postal_code=[1003, 1007, 1040]).merged(FilterSpec(min_year_built=1960, max_year_built=2000))).select("listing_id", "year_built")
 
 
+@query("gate_bad_data", f"{ds.L}, x AS (SELECT listing_id, CASE listing_id % 5 WHEN 0 THEN 150 WHEN 1 THEN 60000 WHEN 2 THEN 0 ELSE price END AS price, CASE WHEN listing_id % 4 = 0 THEN 0 ELSE rooms END AS rooms, CASE WHEN listing_id % 6 = 0 THEN 0 ELSE latitude END AS latitude, CASE WHEN listing_id % 6 = 0 THEN 0 WHEN listing_id % 7 = 0 THEN longitude + 5 ELSE longitude END AS longitude FROM listings) SELECT listing_id, coalesce((price > 0 AND price < 200) OR price > 50000, FALSE) AS bad_price, coalesce(rooms = 0, FALSE) AS bad_rooms, coalesce(latitude = 0 AND longitude = 0, FALSE) AS nowhere, coalesce(latitude BETWEEN 45.8 AND 47.9 AND longitude BETWEEN 5.9 AND 10.5, FALSE) AS inside FROM x")
+def _(spark, d):
+    n = F.col("listing_id")
+    own = ds.listings(spark, d).withColumns({
+        "price": F.when(n % 5 == 0, 150).when(n % 5 == 1, 60000).when(n % 5 == 2, 0).otherwise(F.col("price")),
+        "rooms": F.when(n % 4 == 0, 0).otherwise(F.col("rooms")),
+        "latitude": F.when(n % 6 == 0, 0.0).otherwise(F.col("latitude")),
+        "longitude": F.when(n % 6 == 0, 0.0).when(n % 7 == 0, F.col("longitude") + 5).otherwise(F.col("longitude")),
+    })
+    return own.select("listing_id", bad_price().alias("bad_price"), bad_rooms().alias("bad_rooms"), null_island().alias("nowhere"), inside().alias("inside"))
+
+
+@query("gate_enriched_canton", f"{ds.L}, e AS (SELECT listing_id, 'C1' AS canton_filled, CASE WHEN listing_id % 7 = 0 THEN 'UNKNOWN' ELSE 'rev_geo_offline' END AS canton_source FROM listings WHERE listing_id % 2 = 0) SELECT listing_id FROM e WHERE canton_filled = 'C1' AND canton_source = 'rev_geo_offline'")
+def _(spark, d):
+    own = ds.listings(spark, d)
+    enriched = own.where("listing_id % 2 = 0").select("listing_id", F.lit("C1").alias("canton_filled"), F.when(F.col("listing_id") % 7 == 0, "UNKNOWN").otherwise("rev_geo_offline").alias("canton_source"))
+    return gate(with_enriched(own, enriched), FilterSpec(canton=" c1")).select("listing_id")
+
+
+@query("join_left_enriched", f"{ds.L}, e AS (SELECT listing_id, 'C9' AS f, 'rev_geo_offline' AS s FROM listings WHERE listing_id % 3 = 0) SELECT l.listing_id, CASE WHEN l.listing_id % 3 = 0 THEN 'C9' END AS canton FROM listings l")
+def _(spark, d):
+    own = ds.listings(spark, d)
+    enriched = own.where("listing_id % 3 = 0").select("listing_id", F.lit("C9").alias("canton_filled"), F.lit("rev_geo_offline").alias("canton_source"))
+    return with_enriched(own, enriched).select("listing_id", "canton")
+
+
+_CITIES = ["zurich", "geneva", "bern", "st-gallen"]
+
+
+@query("gate_city_spellings", f"{ds.L} SELECT listing_id FROM listings WHERE listing_id % 4 IN (0, 1, 3)")
+def _(spark, d):
+    own = ds.listings(spark, d).withColumn("city_slug", F.get(F.array(*map(F.lit, _CITIES)), (F.col("listing_id") % 4).cast("int")))
+    return gate(own, FilterSpec(city=[" Z\u00fcrich", "Gen\u00e8ve", "ZURICH", "St. Gallen", "  "])).select("listing_id")
+
+
+@query("gate_filter_merge", f"{ds.L} SELECT listing_id, price FROM listings WHERE canton = 'C2' AND price <= 1700 ORDER BY price NULLS LAST, listing_id LIMIT 25 OFFSET 10")
+def _(spark, d):
+    spec = FilterSpec(canton="c2", sort_by="price_asc", limit=25, offset=10).merged(FilterSpec(max_price=1700))
+    return page(gate(ds.listings(spark, d), spec), spec).select("listing_id", "price")
+
+
 # --- joins
 
 
@@ -199,11 +241,20 @@ def _(spark, d):
     return ds.listings(spark, d).select("listing_id", sg.rooms_bucket(F.col("rooms")).alias("bucket"), F.substring(F.col("postal_code").cast("string"), 1, 2).alias("plz2"))
 
 
-@query("agg_majority_vote_conf", "WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS total, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS rn FROM c) SELECT c_nationkey, c_mktsegment, n, CAST(total AS BIGINT) AS total, CAST(CASE WHEN total >= 10 AND n = total THEN 0.85 WHEN total >= 5 AND n / total >= 0.9 THEN 0.75 WHEN n / total >= 0.8 THEN 0.65 WHEN n / total >= 0.6 THEN 0.60 ELSE 0.45 END AS DOUBLE) AS confidence FROM t WHERE rn = 1")
+@query("agg_majority_vote_conf", "WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS total, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS rn FROM c) SELECT c_nationkey, c_mktsegment, n, CAST(total AS BIGINT) AS total, CAST(CASE WHEN n = total AND total >= 5 THEN 0.85 WHEN n / total >= 0.95 AND total >= 5 THEN 0.75 WHEN n / total >= 0.95 AND total <= 3 THEN 0.65 WHEN n / total >= 0.75 THEN 0.60 ELSE 0.45 END AS DOUBLE) AS confidence FROM t WHERE rn = 1")
 def _(spark, d):
     return sg.majority(ds.table(spark, d, "customer"), "c_nationkey", "c_mktsegment").withColumn("confidence", F.col("confidence").cast("double"))
 
 
+_VOTES = "SELECT CAST(o_custkey AS BIGINT) AS plz, CASE WHEN o_custkey % 3 = 0 OR o_orderkey % (o_custkey % 30 + 2) > 0 THEN 'A' ELSE o_orderstatus END AS canton FROM orders"
+
+
+@query("agg_vote_ladder", f"WITH v AS ({_VOTES}), c AS (SELECT plz, canton, count(*) AS n FROM v GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY plz) AS total, row_number() OVER (PARTITION BY plz ORDER BY n DESC, canton) AS rn FROM c) SELECT plz, canton, n, CAST(total AS BIGINT) AS total, CAST(CASE WHEN n / total >= 1 AND total >= 5 THEN 0.85 WHEN n / total >= 0.95 AND total >= 5 THEN 0.75 WHEN n / total >= 0.95 AND total <= 3 THEN 0.65 WHEN n / total >= 0.75 THEN 0.60 ELSE 0.45 END AS DOUBLE) AS confidence FROM t WHERE rn = 1")
+def _(spark, d):
+    own = ds.table(spark, d, "orders").selectExpr("CAST(o_custkey AS BIGINT) AS plz", _VOTES.split(" AS plz, ")[1].split(" FROM ")[0])
+    return sg.majority(own, "plz", "canton").withColumn("confidence", F.col("confidence").cast("double"))
+
+
 @query("agg_distinct_and_mode", "WITH m AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), x AS (SELECT l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag DESC) AS rn FROM m), c AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS lines FROM lineitem GROUP BY 1) SELECT c.l_suppkey AS stop_id, lines, l_returnflag AS mode FROM c JOIN x ON c.l_suppkey = x.l_suppkey WHERE rn = 1")
 def _(spark, d):
     li = ds.table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag")
@@ -264,11 +315,60 @@ def _(spark, d):
     return out.agg(F.count("*").alias("n"), F.round(F.avg("dist_km"), 6).alias("mean_km"))
 
 
-@query("agg_column_profile", "SELECT count(*) AS rows, count(*) FILTER (WHERE event_type IS NULL) AS nulls, count(DISTINCT event_type) AS distinct_values, 'text' AS class, min(event_type) AS least, max(event_type) AS greatest FROM events")
+@query("agg_column_profile", "SELECT count(*) AS rows, count(*) FILTER (WHERE event_type IS NULL) AS nulls, count(DISTINCT event_type) AS distinct_values, CASE WHEN bool_and(regexp_full_match(event_type, '-?[0-9]+')) THEN 'int' WHEN bool_and(regexp_full_match(event_type, '-?[0-9]+(\\.[0-9]+)?')) THEN 'float' ELSE 'text' END AS class, min(event_type) AS least, max(event_type) AS greatest, avg(TRY_CAST(event_type AS DOUBLE)) AS mean FROM events")
 def _(spark, d):
     return audit.profile(ds.table(spark, d, "events"), "event_type")
 
 
+@query("agg_profile_numbers", "SELECT count(*) AS rows, count(*) FILTER (WHERE s IS NULL) AS nulls, count(DISTINCT s) AS distinct_values, CASE WHEN bool_and(regexp_full_match(s, '-?[0-9]+')) THEN 'int' ELSE 'other' END AS class, min(s) AS least, max(s) AS greatest, round(avg(TRY_CAST(s AS DOUBLE)), 6) AS mean FROM (SELECT CASE WHEN p_partkey % 9 > 0 THEN CAST(p_size AS VARCHAR) END AS s FROM part)")
+def _(spark, d):
+    own = ds.table(spark, d, "part").select(F.when(F.col("p_partkey") % 9 > 0, F.col("p_size").cast("string")).alias("s"))
+    return audit.profile(own, "s").withColumn("mean", F.round("mean", 6))
+
+
+@query("agg_top_values", "SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 4")
+def _(spark, d):
+    return audit.top_values(ds.table(spark, d, "part"), "p_type", 4)
+
+
+@query("agg_coverage_lift", f"{_STATE_SQL} SELECT 'object_category' AS field, (SELECT count(object_category) FROM listings) AS raw, (SELECT count(*) FROM state WHERE field = 'object_category' AND source = 'original') + (SELECT count(*) FROM listings WHERE object_category IS NULL AND listing_id % 4 = 0) AS enriched, (SELECT count(*) FROM listings) AS total UNION ALL SELECT 'year_built', (SELECT count(year_built) FROM listings), (SELECT count(year_built) FROM listings), (SELECT count(*) FROM listings) UNION ALL SELECT 'cellar', 0, 0, (SELECT count(*) FROM listings)")
+def _(spark, d):
+    own = ds.listings(spark, d)
+    proposals = own.where("listing_id % 4 = 0").selectExpr("listing_id", "'object_category' AS field", "'apartment' AS value", "'text' AS by", "CAST(0.8 AS DOUBLE) AS sure", "'Wohnung' AS said")
+    done = enrich.sentinel_fill(enrich.overlay(_state(spark, d), proposals))
+    return audit.lift(own, done, ["object_category", "year_built", "cellar"])
+
+
+@query("agg_answerable", ds.sql_with(listings=(ds.LISTINGS, "part"), signals=(ds.SIGNALS, "customer")) + ", m AS (SELECT l.*, s.stop_m, s.schools FROM listings l LEFT JOIN signals s USING (listing_id)) SELECT 'year built after 2000' AS question, count(year_built) AS n, count(*) AS total, round(count(year_built) / count(*), 9) AS share FROM m UNION ALL SELECT 'stop within 300 m', count(stop_m), count(*), round(count(stop_m) / count(*), 9) FROM m UNION ALL SELECT 'three schools', count(schools), count(*), round(count(schools) / count(*), 9) FROM m")
+def _(spark, d):
+    met = ds.listings(spark, d).join(ds.signals(spark, d).select("listing_id", "stop_m", "schools"), "listing_id", "left")
+    out = audit.answerable(met, {"year built after 2000": F.col("year_built").isNotNull(), "stop within 300 m": F.col("stop_m").isNotNull(), "three schools": F.col("schools").isNotNull()})
+    return out.withColumn("share", F.round("share", 9))
+
+
+@query("agg_gazetteer_kinds", "SELECT CASE WHEN n_regionkey < 2 THEN 'lake' ELSE 'transit' END AS kind, count(*) AS n FROM nation GROUP BY 1")
+def _(spark, d):
+    gazetteer = ds.table(spark, d, "nation").select(F.when(F.col("n_regionkey") < 2, "lake").otherwise("transit").alias("kind"))
+    return audit.scatter(ds.listings(spark, d), gazetteer, {"latitude": (45, 48)})[0]
+
+
+@query("agg_scatter_box", f"{ds.L} SELECT listing_id FROM listings WHERE latitude BETWEEN 46 AND 47 AND longitude BETWEEN 6.5 AND 9")
+def _(spark, d):
+    gazetteer = ds.table(spark, d, "nation").select(F.lit("k").alias("kind"))
+    return audit.scatter(ds.listings(spark, d), gazetteer, {"latitude": (46, 47), "longitude": (6.5, 9)})[1].select("listing_id")
+
+
+_STORE = "im AS (SELECT vec_id AS image_id, CASE WHEN vec_id % 4 = 0 THEN 'floorplan' WHEN vec_id % 9 = 0 THEN 'dropped' ELSE 'main' END AS index_kind, label, embedding FROM embeddings)"
+
+
+@query("image_store_checks", f"WITH {_STORE}, v AS (SELECT * FROM im WHERE index_kind <> 'dropped' AND image_id % 10 <> 1) SELECT 'rows_on_disk' AS check, abs(count(*) - 480) AS bad FROM im UNION ALL SELECT 'labels_main', count(*) FILTER (WHERE index_kind = 'main' AND label > 7) FROM im UNION ALL SELECT 'labels_floorplan', count(*) FILTER (WHERE index_kind = 'floorplan' AND label > 2) FROM im UNION ALL SELECT 'labels_dropped', count(*) FILTER (WHERE index_kind = 'dropped' AND label <> 9) FROM im UNION ALL SELECT 'repeated_ids', count(*) - count(DISTINCT image_id) FROM im UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE list_sum(list_transform(embedding, lambda x: CAST(isnan(x) OR isinf(x) AS INT))) > 0) FROM v UNION ALL SELECT 'not_unit', count(*) FILTER (WHERE sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) NOT BETWEEN 0.99 AND 1.01) FROM v UNION ALL SELECT 'rows_' || k, (SELECT count(*) FROM im WHERE index_kind = k) - (SELECT count(*) FROM v WHERE index_kind = k) FROM (SELECT unnest(['main', 'floorplan']) AS k)")
+def _(spark, d):
+    n = F.col("vec_id")
+    own = ds.table(spark, d, "embeddings").select(n.alias("image_id"), F.when(n % 4 == 0, "floorplan").when(n % 9 == 0, "dropped").otherwise("main").alias("index_kind"), "label", "embedding")
+    vectors = own.where("index_kind <> 'dropped' AND image_id % 10 <> 1")
+    return audit.store_checks(own.drop("embedding"), vectors, {"main": [str(i) for i in range(8)], "floorplan": ["0", "1", "2"], "dropped": ["9"]}, 480)
+
+
 @query("agg_vector_integrity", "SELECT count(*) AS rows, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_size, CAST(0 AS BIGINT) AS not_finite, count(*) FILTER (WHERE sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) NOT BETWEEN 0.99 AND 1.01) AS not_unit, count(*) - count(DISTINCT vec_id) AS repeated_ids FROM embeddings")
 def _(spark, d):
     return audit.vector_checks(ds.table(spark, d, "embeddings"), 64)
@@ -337,14 +437,13 @@ def _(spark, d):
     return search.best_per_listing(images, v.where("vec_id = 11")).select("listing_id", F.round("score", 9).alias("score"), "image_id")
 
 
-@query("vec_gem_pool", "SELECT vec_id // 5 AS listing_id, CAST(i AS INT) AS i, round(pow(avg(pow(greatest(CAST(embedding[i] AS DOUBLE), 1e-6), 3)), 1.0 / 3), 9) AS g FROM embeddings, range(1, 65) r(i) GROUP BY 1, i")
+@query("vec_gem_pool", "WITH g AS (SELECT vec_id // 5 AS listing_id, i, pow(avg(pow(greatest(CAST(embedding[i] AS DOUBLE), 1e-6), 3)), 1.0 / 3) AS g FROM embeddings, range(1, 65) r(i) GROUP BY 1, i), n AS (SELECT listing_id, sqrt(sum(g * g)) AS n FROM g GROUP BY 1) SELECT listing_id, CAST(i AS INT) AS i, round(g / n, 9) AS g FROM g JOIN n USING (listing_id)")
 def _(spark, d):
-    long = ds.table(spark, d, "embeddings").select(F.expr("vec_id DIV 5").alias("listing_id"), F.posexplode("embedding").alias("i", "x"))
-    g = F.pow(F.avg(F.pow(F.greatest(F.col("x").cast("double"), F.lit(1e-6)), 3)), F.lit(1.0 / 3))
-    return long.groupBy("listing_id", "i").agg(F.round(g, 9).alias("g")).select("listing_id", (F.col("i") + 1).alias("i"), "g")
+    v = ds.table(spark, d, "embeddings").select(F.expr("vec_id DIV 5").alias("listing_id"), "embedding")
+    return memory.gem(v, ["listing_id"]).select("listing_id", F.posexplode("vector").alias("i", "g")).select("listing_id", (F.col("i") + 1).alias("i"), F.round("g", 9).alias("g"))
 
 
-@query("feature_similarity", f"{ds.L}, b AS (SELECT canton AS bc, object_category AS bo, rooms AS br, price AS bp FROM listings WHERE listing_id = 3) SELECT listing_id, round(coalesce(CAST(canton = bc AS INT), 0) * 2.0 + coalesce(CAST(object_category = bo AS INT), 0) * 0.5 + coalesce(1 / (1 + abs(rooms - br)), 0) + coalesce(1 / (1 + abs(price - bp) / bp), 0), 9) AS score FROM listings, b WHERE listing_id <> 3 ORDER BY score DESC, listing_id LIMIT 50")
+@query("feature_similarity", f"{ds.L}, b AS (SELECT canton AS bc, object_category AS bo, rooms AS br, price AS bp FROM listings WHERE listing_id = 3) SELECT listing_id, round(coalesce(CAST(canton = bc AS INT), 0) * 2.0 + coalesce(CAST(object_category = bo AS INT), 0) * 0.5 + CASE WHEN br IS NULL OR bp IS NULL OR bp = 0 THEN 0 ELSE 1 / (1 + abs(coalesce(rooms, 0) - br)) + CASE WHEN price > 0 THEN 1 / (1 + abs(price - bp) / bp) ELSE 0 END END, 9) AS score FROM listings, b WHERE listing_id <> 3 ORDER BY score DESC, listing_id LIMIT 50")
 def _(spark, d):
     own = ds.listings(spark, d)
     base = F.broadcast(own.where("listing_id = 3").select(F.col("canton").alias("bc"), F.col("object_category").alias("bo"), F.col("rooms").alias("br"), F.col("price").alias("bp")))
@@ -369,16 +468,40 @@ def _docs(spark, d):
     return ds.table(spark, d, "documents").withColumnRenamed("doc_id", "listing_id")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d) -> bm25.Index:
+    """The documents' stored index, built once a session."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _indexes:
+        path = new_path(spark, "bm25")
+        bm25.build(_docs(spark, d), "listing_id", ["text"], path)
+        _indexes[at] = path
+    return bm25.Index(spark, _indexes[at])
+
+
+@query("bm25_index_build", f"WITH tok AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS places FROM tok GROUP BY 1")
+def _(spark, d):
+    path = new_path(spark, "bm25")
+    bm25.build(_docs(spark, d), "listing_id", ["text"], path)
+    return bm25.Index(spark, path).postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("places")).alias("places"))
+
+
 @query("bm25_or_phrases", f"WITH {_BM25} SELECT doc_id AS listing_id, round(score, 9) AS score FROM bm")
+def _(spark, d):
+    return _index(spark, d).score(_TERMS).select("listing_id", F.round("score", 9).alias("score"))
+
+
+@query("bm25_scan", f"WITH {_BM25} SELECT doc_id AS listing_id, round(score, 9) AS score FROM bm")
 def _(spark, d):
     return bm25.score(_docs(spark, d), "listing_id", ["text"], _TERMS).select("listing_id", F.round("score", 9).alias("score"))
 
 
 @query("bm25_gated_coalesce", f"WITH {_BM25} SELECT d.doc_id AS listing_id, round(coalesce(score, 1e9), 9) AS bm25 FROM documents d LEFT JOIN bm ON bm.doc_id = d.doc_id WHERE lang IN ('en', 'fr') AND n_chars BETWEEN 200 AND 8000 ORDER BY coalesce(score, 1e9), d.doc_id LIMIT 300")
 def _(spark, d):
-    docs = _docs(spark, d)
-    own = search.pool(docs.where("lang IN ('en', 'fr') AND n_chars BETWEEN 200 AND 8000"), bm25.score(docs, "listing_id", ["text"], _TERMS), 20)
-    return own.select("listing_id", F.round("bm25", 9).alias("bm25"))
+    gated = _docs(spark, d).where("lang IN ('en', 'fr') AND n_chars BETWEEN 200 AND 8000").select("listing_id")
+    return search.pool(gated, _index(spark, d).score(_TERMS), 20).select("listing_id", F.round("bm25", 9).alias("bm25"))
 
 
 _HYBRID = f"""WITH {_BM25},
@@ -395,7 +518,7 @@ def _(spark, d):
     gated = docs.where("lang IN ('en', 'de') AND n_chars BETWEEN 200 AND 8000").select("listing_id", "n_chars")
     v = ds.vectors(spark, d)
     soft = lambda p: [ranking.rank_by(p, "short", F.col("n_chars"))]
-    out = search.hybrid(gated, docs, ["text"], _TERMS, v, v.where("listing_id = 7"), soft)
+    out = search.hybrid(gated, docs, ["text"], _TERMS, v, v.where("listing_id = 7"), soft, index=_index(spark, d))
     return out.select("listing_id", F.round("rrf", 9).alias("rrf"))
 
 
@@ -406,41 +529,18 @@ def _(spark, d):
     return out.select("listing_id", F.round("rrf", 9).alias("rrf"))
 
 
-@query("fused_lookalikes", f"""WITH img AS (SELECT listing_id, row_number() OVER (ORDER BY s DESC, listing_id) AS r FROM (SELECT e.vec_id // 5 AS listing_id, max({_dot('e.embedding', 'q.embedding')}) AS s FROM embeddings e, embeddings q WHERE q.vec_id = 20 GROUP BY 1) WHERE listing_id <> 4),
-txt AS (SELECT e.vec_id AS listing_id, row_number() OVER (ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id = 4 AND e.vec_id <> 4 AND e.vec_id < 100)
-SELECT listing_id, round(sum(1.0 / (60 + r)), 9) AS rrf FROM (SELECT * FROM img UNION ALL SELECT * FROM txt) GROUP BY 1 ORDER BY rrf DESC, listing_id LIMIT 10""")
-def _(spark, d):
-    v = ds.table(spark, d, "embeddings")
-    images = v.select(F.expr("vec_id DIV 5").alias("listing_id"), F.col("vec_id").alias("image_id"), "embedding")
-    img = search.best_per_listing(images, v.where("vec_id = 20")).where("listing_id <> 4").withColumn("pool_pos", F.col("listing_id"))
-    q = F.broadcast(v.where("vec_id = 4").select(F.col("embedding").alias("q")))
-    txt = v.where("vec_id <> 4 AND vec_id < 100").crossJoin(q).select(F.col("vec_id").alias("listing_id"), F.col("vec_id").alias("pool_pos"), dot(F.col("embedding"), F.col("q")).alias("score"))
-    fused = ranking.rrf([ranking.rank_by(img, "image", F.col("score"), True), ranking.rank_by(txt, "text", F.col("score"), True)])
-    return fused.select("listing_id", F.round("rrf", 9).alias("rrf")).orderBy(F.desc("rrf"), "listing_id").limit(10)
-
-
-#: R6 as a whole: images of all listings, the texts' and the features' best 500 of all.
-_LOOKALIKES = f"""{ds.L}, img AS (SELECT listing_id, row_number() OVER (ORDER BY s DESC, listing_id) AS r FROM (SELECT e.vec_id // 5 AS listing_id, max({_dot('e.embedding', 'q.embedding')}) AS s FROM embeddings e, embeddings q WHERE q.vec_id = 20 GROUP BY 1) WHERE listing_id <> 4),
+_LOOKALIKES = f"""{ds.L}, own AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) WHERE vec_id // 5 = 4 GROUP BY i)),
+img AS (SELECT listing_id, row_number() OVER (ORDER BY s DESC, listing_id) AS r FROM (SELECT vec_id // 5 AS listing_id, max({_dot('embedding', 'c')}) AS s FROM embeddings, own GROUP BY 1) WHERE listing_id <> 4),
 txt AS (SELECT e.vec_id AS listing_id, row_number() OVER (ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id = 4 AND e.vec_id <> 4 QUALIFY r <= 500),
-fs AS (SELECT o.listing_id, coalesce(CAST(o.canton = b.canton AS DOUBLE), 0) * 2 + coalesce(CAST(o.object_category = b.object_category AS DOUBLE), 0) * CAST(0.5 AS DOUBLE) + CASE WHEN b.rooms IS NOT NULL AND b.price IS NOT NULL AND b.price <> 0 THEN coalesce(CAST(1 AS DOUBLE) / (1 + abs(o.rooms - b.rooms)), 0) + coalesce(CAST(1 AS DOUBLE) / (1 + abs(o.price - b.price) / b.price), 0) ELSE 0 END AS s FROM listings o, listings b WHERE b.listing_id = 4 AND o.listing_id <> 4),
+fs AS (SELECT o.listing_id, coalesce(CAST(o.canton = b.canton AS DOUBLE), 0) * 2 + coalesce(CAST(o.object_category = b.object_category AS DOUBLE), 0) * CAST(0.5 AS DOUBLE) + CASE WHEN b.rooms IS NOT NULL AND b.price IS NOT NULL AND b.price <> 0 THEN CAST(1 AS DOUBLE) / (1 + abs(coalesce(o.rooms, 0) - b.rooms)) + CASE WHEN o.price > 0 THEN CAST(1 AS DOUBLE) / (1 + abs(o.price - b.price) / b.price) ELSE 0 END ELSE 0 END AS s FROM listings o, listings b WHERE b.listing_id = 4 AND o.listing_id <> 4),
 feat AS (SELECT listing_id, row_number() OVER (ORDER BY s DESC, listing_id) AS r FROM fs QUALIFY r <= 500)
-SELECT listing_id, round(sum(1.0 / (60 + r)), 9) AS rrf FROM (SELECT * FROM img UNION ALL SELECT * FROM txt UNION ALL SELECT * FROM feat) GROUP BY 1 ORDER BY rrf DESC, listing_id LIMIT 10"""
+SELECT listing_id, round(sum(1.0 / (60 + r)), 9) AS rrf FROM (SELECT * FROM img UNION ALL SELECT * FROM txt UNION ALL SELECT * FROM feat) GROUP BY 1 ORDER BY round(sum(1.0 / (60 + r)), 12) DESC, listing_id LIMIT 10"""
 
 
-@query("fused_lookalikes_whole", _LOOKALIKES)
+@query("fused_lookalikes", _LOOKALIKES)
 def _(spark, d):
-    v = ds.table(spark, d, "embeddings")
-    listings = ds.listings(spark, d)
-    best = lambda scored: scored.orderBy(F.desc("score"), "listing_id").limit(500).withColumn("pool_pos", F.col("listing_id"))
-    images = v.select(F.expr("vec_id DIV 5").alias("listing_id"), F.col("vec_id").alias("image_id"), "embedding")
-    img = search.best_per_listing(images, v.where("vec_id = 20")).where("listing_id <> 4").withColumn("pool_pos", F.col("listing_id"))
-    q = F.broadcast(v.where("vec_id = 4").select(F.col("embedding").alias("q")))
-    txt = best(v.where("vec_id <> 4").crossJoin(q).select(F.col("vec_id").alias("listing_id"), dot(F.col("embedding"), F.col("q")).alias("score")))
-    base = F.broadcast(listings.where("listing_id = 4").select(*[F.col(c).alias(f"base_{c}") for c in ("canton", "object_category", "rooms", "price")]))
-    like = ranking.feature_similarity(F.col("canton") == F.col("base_canton"), F.col("object_category") == F.col("base_object_category"), F.col("rooms"), F.col("base_rooms"), F.col("price"), F.col("base_price"))
-    feat = best(listings.where("listing_id <> 4").crossJoin(base).select("listing_id", like.alias("score")))
-    fused = ranking.rrf([ranking.rank_by(x, n, F.col("score"), True) for n, x in (("image", img), ("text", txt), ("feature", feat))])
-    return fused.select("listing_id", F.round("rrf", 9).alias("rrf")).orderBy(F.desc("rrf"), "listing_id").limit(10)
+    out = search.lookalikes(4, ds.listings(spark, d), _images(spark, d), ds.vectors(spark, d).select("listing_id", "embedding"))
+    return out.select("listing_id", F.round("rrf", 9).alias("rrf"))
 
 
 # --- soft rankings
@@ -541,39 +641,42 @@ def _(spark, d):
     return ds.listings(spark, d).crossJoin(stats).select("listing_id", F.round(memory.price_score(F.col("price"), F.col("mu"), F.col("sigma")), 9).alias("score")).where("score IS NOT NULL")
 
 
-@query("mem_semantic_taste", f"WITH p AS (SELECT list(m ORDER BY i) AS v FROM ({_CENTROID}) WHERE label = 1), n AS (SELECT list(m ORDER BY i) AS v FROM ({_CENTROID}) WHERE label = 2), q AS (SELECT list_transform(range(1, 65), lambda i: p.v[i] - 0.5 * n.v[i]) AS q FROM p, n) SELECT vec_id AS listing_id, round({_dot('embedding', 'q')} / sqrt({_dot('q', 'q')}), 9) AS score FROM embeddings, q WHERE vec_id < 300")
+@query("mem_semantic_taste", f"WITH p AS (SELECT list(m ORDER BY i) AS v FROM ({_CENTROID}) WHERE label = 1), n AS (SELECT list(m ORDER BY i) AS v FROM ({_CENTROID}) WHERE label = 2), q AS (SELECT list_transform(range(1, 65), lambda i: p.v[i] - 0.5 * n.v[i]) AS q FROM p, n) SELECT vec_id AS listing_id, round({_dot('embedding', 'q')} / sqrt({_dot('q', 'q')}), 9) AS score FROM embeddings, q")
 def _(spark, d):
     v = ds.vectors(spark, d)
     own = lambda n: v.where(F.col("label") == n).select("listing_id")
-    return memory.semantic_taste(v.where("listing_id < 300"), v, own(1), own(2)).withColumn("score", F.round("score", 9))
+    return memory.semantic_taste(v, v, own(1), own(2)).withColumn("score", F.round("score", 9))
 
 
-@query("mem_dismissal_demotion", f"WITH pool AS (SELECT vec_id AS listing_id, vec_id AS pool_pos, embedding FROM embeddings WHERE vec_id < 200), bad AS (SELECT embedding AS b FROM embeddings WHERE vec_id IN (3, 50, 120)), s AS (SELECT listing_id, pool_pos, listing_id IN (3, 50, 120) OR max({_dot('embedding', 'b')}) > 0.85 AS sunken FROM pool, bad GROUP BY 1, 2) SELECT listing_id, pool_pos, sunken, CAST(row_number() OVER (ORDER BY sunken, pool_pos) AS INT) AS place FROM s")
+@query("mem_dismissal_demotion", f"WITH pool AS (SELECT e.vec_id AS listing_id, e.embedding, row_number() OVER (ORDER BY -{_dot('e.embedding', 'q.embedding')}, e.vec_id) AS pool_pos FROM embeddings e, embeddings q WHERE q.vec_id = 7 QUALIFY pool_pos <= 300), bad AS (SELECT embedding AS b FROM embeddings WHERE vec_id IN (3, 50, 120)), s AS (SELECT listing_id, pool_pos, listing_id IN (3, 50, 120) OR max({_dot('embedding', 'b')}) > 0.85 AS sunken FROM pool, bad GROUP BY 1, 2) SELECT listing_id, pool_pos, sunken, CAST(row_number() OVER (ORDER BY sunken, pool_pos) AS INT) AS place FROM s")
 def _(spark, d):
     v = ds.vectors(spark, d)
-    pool = v.where("listing_id < 200").select("listing_id", F.col("listing_id").alias("pool_pos"))
+    q = F.broadcast(v.where("listing_id = 7").select(F.col("embedding").alias("q")))
+    scores = v.crossJoin(q).select("listing_id", (-dot(F.col("embedding"), F.col("q"))).alias("score"))
+    pool = search.pool(v.select("listing_id"), scores, search.POOL)  # the best 300 of all
     return memory.demoted(pool, v, v.where("listing_id IN (3, 50, 120)").select("listing_id"), False)
 
 
-@query("mem_semantic_taste_whole", f"WITH p AS (SELECT list(m ORDER BY i) AS v FROM ({_CENTROID}) WHERE label = 1), n AS (SELECT list(m ORDER BY i) AS v FROM ({_CENTROID}) WHERE label = 2), q AS (SELECT list_transform(range(1, 65), lambda i: p.v[i] - 0.5 * n.v[i]) AS q FROM p, n) SELECT vec_id AS listing_id, round({_dot('embedding', 'q')} / sqrt({_dot('q', 'q')}), 9) AS score FROM embeddings, q")
+_VISUAL = f"WITH own AS (SELECT vec_id // 5 AS listing_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, i), c AS (SELECT listing_id, list(m ORDER BY i) AS v FROM own GROUP BY 1), q AS (SELECT list(m ORDER BY i) AS q FROM (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) WHERE vec_id // 5 IN (2, 5, 9) GROUP BY i)) SELECT listing_id, round({_dot('v', 'q')} / sqrt({_dot('q', 'q')}) / sqrt({_dot('v', 'v')}), 9) AS score FROM c, q"
+
+
+@query("mem_visual_taste", _VISUAL)
 def _(spark, d):
-    v = ds.vectors(spark, d)
-    own = lambda n: v.where(F.col("label") == n).select("listing_id")
-    return memory.semantic_taste(v, v, own(1), own(2)).withColumn("score", F.round("score", 9))
+    own = _images(spark, d)
+    pool = own.select("listing_id").distinct()
+    return memory.visual_taste(pool, own.select("listing_id", "embedding"), pool.where("listing_id IN (2, 5, 9)")).withColumn("score", F.round("score", 9))
 
 
-@query("mem_dismissal_demotion_whole", f"WITH pool AS (SELECT e.vec_id AS listing_id, e.embedding, row_number() OVER (ORDER BY -{_dot('e.embedding', 'q.embedding')}, e.vec_id) AS pool_pos FROM embeddings e, embeddings q WHERE q.vec_id = 7 QUALIFY pool_pos <= 300), bad AS (SELECT embedding AS b FROM embeddings WHERE vec_id IN (3, 50, 120)), s AS (SELECT listing_id, pool_pos, listing_id IN (3, 50, 120) OR max({_dot('embedding', 'b')}) > 0.85 AS sunken FROM pool, bad GROUP BY 1, 2) SELECT listing_id, pool_pos, sunken, CAST(row_number() OVER (ORDER BY sunken, pool_pos) AS INT) AS place FROM s")
+@query("mem_feature_rank", f"{_TASTE_SQL}, mine AS (SELECT feature, taste FROM taste WHERE user_id = 5), s AS (SELECT listing_id, sum(taste * CASE WHEN (feature = 'feature_balcony' AND feature_balcony = 1) OR (feature = 'feature_elevator' AND feature_elevator = 1) OR (feature = 'feature_parking' AND feature_parking = 1) THEN 1 ELSE -1 END) AS v FROM listings, mine GROUP BY 1) SELECT listing_id, round(v, 9) AS score FROM s")
 def _(spark, d):
-    v = ds.vectors(spark, d)
-    q = F.broadcast(v.where("listing_id = 7").select(F.col("embedding").alias("q")))
-    scores = v.crossJoin(q).select("listing_id", (-dot(F.col("embedding"), F.col("q"))).alias("score"))
-    pool = search.pool(v.select("listing_id"), scores, search.POOL)  # the best 300 of all
-    return memory.demoted(pool, v, v.where("listing_id IN (3, 50, 120)").select("listing_id"), False)
+    flags = ["feature_balcony", "feature_elevator", "feature_parking"]
+    own = memory.feature_score(ds.listings(spark, d).select("listing_id", *flags), _taste(spark, d).where("user_id = 5"), flags)
+    return own.withColumn("score", F.round("score", 9))
 
 
 @query("default_feed", f"{_PRICE_SQL}, pool AS (SELECT *, row_number() OVER (ORDER BY listing_id) AS pos FROM (SELECT listing_id, price FROM listings ORDER BY listing_id LIMIT 400)), r AS (SELECT listing_id, row_number() OVER (ORDER BY -abs(ln(price) - mu) / greatest(sigma, 0.05) DESC, pos) AS r FROM pool, ps WHERE user_id = 5 AND price > 0) SELECT listing_id, round(coalesce(1.0 / (60 + r), 0), 9) AS rrf FROM pool LEFT JOIN r USING (listing_id) ORDER BY coalesce(1.0 / (60 + r), 0) DESC, pos LIMIT 20")
 def _(spark, d):
-    own = search.pool(ds.listings(spark, d).select("listing_id", "price"), None, 400)
+    own = search.feed_pool(ds.listings(spark, d).select("listing_id", "price"), 20)
     stats = F.broadcast(_stats(spark, d).where("user_id = 5"))
     rank = ranking.rank_by(own.crossJoin(stats), "price", memory.price_score(F.col("price"), F.col("mu"), F.col("sigma")), True)
     out = own.join(ranking.rrf([rank]), "listing_id", "left").fillna({"rrf": 0.0}).orderBy(F.desc("rrf"), "pool_pos").limit(20)
@@ -602,26 +705,17 @@ def _(spark, d):
     return ds.table(spark, d, "documents").select("doc_id", F.size(hit).alias("hits"))
 
 
-@query("reason_text", f"{ds.S} SELECT listing_id, CASE WHEN schools IS NULL AND stop_m IS NULL THEN 'matches all hard filters' ELSE concat_ws('; ', CASE WHEN stop_m IS NOT NULL THEN printf('semantic %.3f', stop_m) END, CASE WHEN schools > 0 THEN printf('%d soft preferences', schools) END) END AS reason FROM signals WHERE schools IS NULL OR schools > 0")
+@query("reason_text", f"{ds.S} SELECT listing_id, coalesce(nullif(concat_ws('; ', CASE WHEN stop_m IS NOT NULL THEN printf('semantic %.3f', stop_m) END, CASE WHEN schools > 0 THEN printf('%d soft preferences', schools) END), ''), 'matches all hard filters') AS reason FROM signals")
 def _(spark, d):
     text = ranking.reason(F.lit(1e9), F.col("stop_m"), F.col("schools"), F.lit(None).cast("double"))
-    return ds.signals(spark, d).where("schools IS NULL OR schools > 0").select("listing_id", text.alias("reason"))
+    return ds.signals(spark, d).select("listing_id", text.alias("reason"))
 
 
 # --- texts
 
-_FOLD_SQL = f"translate(lower({{c}}), '{tx.ACCENTED}', '{tx.FOLDED}')"
-
-
-@query("txt_slug_fold", "SELECT doc_id, " + _FOLD_SQL.format(c="trim(substr(text, 1, 40), ' ')") + " AS folded FROM documents WHERE regexp_full_match(" + _FOLD_SQL.format(c="trim(substr(text, 1, 40), ' ')") + ", '[\\x00-\\x7F]*')")
-def _(spark, d):
-    head = F.substring("text", 1, 40)
-    return ds.table(spark, d, "documents").where(F.rlike(tx.fold(F.trim(head)), F.lit(r"^[\x00-\x7F]*\z"))).select("doc_id", tx.slug(head, {"-": "-"}).alias("folded"))
-
-
-@query("txt_slug_fold_whole")  # SQL folds other letters than Spark; a test holds it against a plain version
+@query("txt_slug_fold")  # SQL has no compatibility decomposition; a test holds it against a plain version
 def _(spark, d):
-    return ds.table(spark, d, "documents").select("doc_id", tx.slug(F.col("text"), {"-": "-"}).alias("folded"))
+    return ds.table(spark, d, "documents").select("doc_id", tx.slug(F.col("text")).alias("folded"))
 
 
 @query("txt_html_strip", "SELECT page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' '), '') AS plain FROM pages")
@@ -637,7 +731,7 @@ def _(spark, d):
     return ds.table(spark, d, "documents").select("doc_id", tx.language(F.col("text")).alias("lang"))
 
 
-@query("txt_split_number", "WITH s AS (SELECT p_partkey, concat(p_name, ' ', CAST(p_size AS STRING), CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END) AS a FROM part) SELECT p_partkey, regexp_extract(a, '^(.+?)\\s+(\\d+[A-Za-z]*(?:\\s+\\d+[A-Za-z]*)?)\\s*$', 1) AS street, regexp_extract(a, '^(.+?)\\s+(\\d+[A-Za-z]*(?:\\s+\\d+[A-Za-z]*)?)\\s*$', 2) AS house FROM s")
+@query("txt_split_number", "WITH s AS (SELECT p_partkey, concat(p_name, ' ', CAST(p_size AS STRING), CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END) AS a FROM part) SELECT p_partkey, lower(trim(regexp_extract(a, '^(.+?)\\s(\\d+[A-Za-z]*(?:\\s+\\d+[A-Za-z]*)?)$', 1))) AS street, regexp_extract(a, '^(.+?)\\s+(\\d+[A-Za-z]*(?:\\s+\\d+[A-Za-z]*)?)\\s*$', 2) AS house FROM s")
 def _(spark, d):
     a = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "b").otherwise(""))
     return ds.table(spark, d, "part").select("p_partkey", tx.street(a).alias("street"), tx.house_number(a).alias("house"))
@@ -685,22 +779,57 @@ def _(spark, d):
 _BAD = "field = 'year_built' AND TRY_CAST(filled AS INT) < 1955"
 
 
-@query("enrich_drop_bad", f"{_STATE_SQL} SELECT listing_id, field, CASE WHEN {_BAD} THEN 'UNKNOWN' ELSE filled END AS filled, CASE WHEN {_BAD} THEN 'DROPPED_bad_data' ELSE source END AS source FROM state WHERE field <> 'price'")
+@query("enrich_drop_bad", f"{_STATE_SQL} SELECT listing_id, field, CASE WHEN {_BAD} THEN 'UNKNOWN' ELSE filled END AS filled, CASE WHEN {_BAD} THEN 'DROPPED_bad_data' ELSE source END AS source FROM state")
 def _(spark, d):
     out = enrich.drop_bad(_state(spark, d), F.expr(_BAD), F.lit("too_old"))
-    return out.where("field <> 'price'").select("listing_id", "field", "filled", "source")
+    return out.select("listing_id", "field", "filled", "source")
 
 
-@query("enrich_pass_overlay", f"{_STATE_SQL} SELECT listing_id, field, CASE WHEN field = 'object_category' AND source = 'UNKNOWN-pending' AND listing_id % 4 = 0 THEN 'apartment' ELSE filled END AS filled, CASE WHEN field = 'object_category' AND source = 'UNKNOWN-pending' AND listing_id % 4 = 0 THEN 'text' WHEN source = 'UNKNOWN-pending' THEN 'UNKNOWN' ELSE source END AS source FROM state WHERE field <> 'price'")
+@query("enrich_pass_overlay", f"{_STATE_SQL} SELECT listing_id, field, CASE WHEN field = 'object_category' AND source = 'UNKNOWN-pending' AND listing_id % 4 = 0 THEN 'apartment' ELSE filled END AS filled, CASE WHEN field = 'object_category' AND source = 'UNKNOWN-pending' AND listing_id % 4 = 0 THEN 'text' WHEN source = 'UNKNOWN-pending' THEN 'UNKNOWN' ELSE source END AS source FROM state")
 def _(spark, d):
     proposals = ds.listings(spark, d).where("listing_id % 4 = 0").selectExpr("listing_id", "'object_category' AS field", "'apartment' AS value", "'text' AS by", "CAST(0.8 AS DOUBLE) AS sure", "'Wohnung' AS said")
     out = enrich.sentinel_fill(enrich.overlay(_state(spark, d), proposals))
-    return out.where("field <> 'price'").select("listing_id", "field", "filled", "source")
+    return out.select("listing_id", "field", "filled", "source")
+
+
+@query("enrich_sentinel_fill", f"{_STATE_SQL} SELECT count(*) FILTER (WHERE filled IS NULL) AS null_filled, count(*) FILTER (WHERE source = 'UNKNOWN-pending' AND listing_id % 2 = 1) AS pending, count(*) FILTER (WHERE confidence NOT BETWEEN 0 AND 1) AS bad_confidence, count(*) FILTER (WHERE source = 'UNKNOWN' AND filled <> 'UNKNOWN') AS unknown_with_value FROM state")
+def _(spark, d):
+    own = _state(spark, d)  # half of the rows are filled, so that what is left pending shows
+    return enrich.violations(enrich.sentinel_fill(own.where("listing_id % 2 = 0")).unionByName(own.where("listing_id % 2 = 1")))
+
+
+_ADS = ["Helle Wohnung mit Balkon und Lift", "Bright flat with a fireplace and a garage", "Studio ohne Balkon in der Stadt", "appartement avec ascenseur et parking", "rien"]
+_AD_SQL = "SELECT p_partkey AS listing_id, [" + ", ".join(f"'{x}'" for x in _ADS) + "][p_partkey % 5 + 1] AS t FROM part"
+
+
+@query("enrich_feature_extraction", f"WITH a AS ({_AD_SQL}) SELECT listing_id, 'feature_balcony' AS field, CASE WHEN t LIKE '%mit Balkon%' THEN '1' WHEN t LIKE '%ohne Balkon%' THEN '0' ELSE 'UNKNOWN' END AS filled, CASE WHEN t LIKE '%Balkon%' THEN 'text_regex_de' ELSE 'UNKNOWN' END AS source, CAST(CASE WHEN t LIKE '%mit Balkon%' THEN 0.8 WHEN t LIKE '%ohne Balkon%' THEN 0.48 ELSE 0 END AS DOUBLE) AS confidence FROM a UNION ALL SELECT listing_id, 'feature_elevator', CASE WHEN t LIKE '%Lift%' OR t LIKE '%ascenseur%' THEN '1' ELSE 'UNKNOWN' END, CASE WHEN t LIKE '%Lift%' THEN 'text_regex_de' WHEN t LIKE '%ascenseur%' THEN 'text_regex_fr' ELSE 'UNKNOWN' END, CAST(CASE WHEN t LIKE '%Lift%' OR t LIKE '%ascenseur%' THEN 0.85 ELSE 0 END AS DOUBLE) FROM a UNION ALL SELECT listing_id, 'feature_garage', CASE WHEN t LIKE '%garage%' THEN '1' ELSE 'UNKNOWN' END, CASE WHEN t LIKE '%garage%' THEN 'text_regex_en' ELSE 'UNKNOWN' END, CAST(CASE WHEN t LIKE '%garage%' THEN 0.8 ELSE 0 END AS DOUBLE) FROM a")
+def _(spark, d):
+    t = F.get(F.array(*map(F.lit, _ADS)), (F.col("p_partkey") % 5).cast("int"))
+    own = ds.table(spark, d, "part").select(F.col("p_partkey").alias("listing_id"), F.lit(None).cast("string").alias("title"), t.alias("description"), *[F.lit(None).cast("string").alias(f"feature_{n}") for n in ("balcony", "elevator", "garage")])
+    state = enrich.seed(own, ["feature_balcony", "feature_elevator", "feature_garage"])
+    out = enrich.sentinel_fill(enrich.extracted(state, own, ["balcony", "elevator", "garage"]))
+    return out.select("listing_id", "field", "filled", "source", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("enrich_sentinel_fill", "SELECT CAST(0 AS BIGINT) AS null_filled, CAST(0 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS bad_confidence, CAST(0 AS BIGINT) AS unknown_with_value")
+@query("txt_canton_of_region", "SELECT n_nationkey, ['ZH', 'GR', 'SG', NULL][n_nationkey % 4 + 1] AS canton FROM nation")
 def _(spark, d):
-    return enrich.violations(enrich.sentinel_fill(_state(spark, d)))
+    region = F.get(F.array(F.lit(" Zurich"), F.lit("Grisons"), F.lit("Saint Gallen"), F.lit("Elsewhere")), F.col("n_nationkey") % 4)
+    return ds.table(spark, d, "nation").select("n_nationkey", tx.canton(region).alias("canton"))
+
+
+_LOGINS = "SELECT event_id AS id, user_id, user_id % 7 AS address, event_type <> 'error' AS ok, CAST(ts AS TIMESTAMP) AS created_at FROM events WHERE event_type IN ('error', 'signup')"
+
+
+@query("ratelimit_login", f"WITH a AS ({_LOGINS}), r AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY user_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a), x AS (SELECT id, count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY user_id, run ORDER BY epoch_us(created_at) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS u, count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY address ORDER BY epoch_us(created_at) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS i FROM r) SELECT id, u >= 2 OR i >= 12 AS blocked FROM x")
+def _(spark, d):
+    own = ds.table(spark, d, "events").where("event_type IN ('error', 'signup')")
+    own = own.select(F.col("event_id").alias("id"), "user_id", (F.col("user_id") % 7).alias("address"), (F.col("event_type") != "error").alias("ok"), F.col("ts").cast("timestamp").alias("created_at"))
+    return interactions.login_limited(own, 2, 12, 86_400)
+
+
+@query("ratelimit_token_bucket")  # a test holds it against a plain bucket
+def _(spark, d):
+    return interactions.token_bucket(ds.events(spark, d), 3, 1 / 40_000)
 
 
 @query("enrich_coverage_topn", f"{ds.L} SELECT listing_id, (price IS NOT NULL)::INT + (rooms IS NOT NULL)::INT + (object_category IS NOT NULL)::INT + (latitude IS NOT NULL)::INT + (year_built IS NOT NULL)::INT AS filled FROM listings ORDER BY filled DESC, listing_id LIMIT 40")
@@ -728,9 +857,33 @@ def _(spark, d):
     return entities.merged(names).select("canonical", "root")
 
 
-@query("entity_best_query", "WITH c AS (SELECT p_brand AS canonical, p_type AS name, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY n DESC, regexp_matches(name, '[A-Z0-9]') DESC, length(name), name) AS rn FROM c) SELECT canonical, name, n FROM r WHERE rn = 1")
+_FIT = "length(trim(name)) >= 4 AND regexp_matches(name, '[A-Z0-9]')"
+_BEST = f"c AS (SELECT replace(lower(p_brand), '#', '_') AS canonical, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) ELSE p_type END AS name, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, {_FIT} AS fit, row_number() OVER (PARTITION BY canonical ORDER BY {_FIT} DESC, n DESC, length(name), name) AS rn FROM c), best AS (SELECT canonical, CASE WHEN fit THEN name ELSE 'none' END AS name, n FROM r WHERE rn = 1)"
+
+
+def _mentions(spark, d):
+    return ds.table(spark, d, "part").select(F.col("p_partkey").alias("listing_id"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")).alias("canonical"), F.when(F.col("p_partkey") % 3 == 0, "lake").otherwise("transit").alias("kind"), F.when(F.col("p_partkey") % 4 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("name"))
+
+
+@query("entity_best_query", f"WITH {_BEST} SELECT canonical, name, n FROM best")
 def _(spark, d):
-    return entities.best_query(ds.table(spark, d, "part").select(F.col("p_brand").alias("canonical"), F.col("p_type").alias("name")))
+    return entities.best_query(_mentions(spark, d))
+
+
+@query("entity_lookup_text", f"WITH {_BEST}, k AS (SELECT replace(lower(p_brand), '#', '_') AS canonical, CAST(p_size % 4 AS VARCHAR) AS city, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT canonical, city FROM k QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY n DESC, city) = 1) SELECT canonical, CASE WHEN contains(lower(name), city) THEN name ELSE name || ', ' || city END AS lookup FROM best JOIN t USING (canonical)")
+def _(spark, d):
+    cities = ds.table(spark, d, "part").select(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")).alias("canonical"), (F.col("p_size") % 4).cast("string").alias("city"))
+    return entities.lookup_text(entities.best_query(_mentions(spark, d)), cities)
+
+
+_TOPS = "SELECT replace(lower(p_brand), '#', '_') AS canonical, CASE WHEN p_partkey % 3 = 0 THEN 'lake' ELSE 'transit' END AS kind, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) ELSE p_type END AS name, CAST(p_size AS VARCHAR) AS city, p_partkey FROM part"
+
+
+@query("entity_described", f"WITH m AS ({_TOPS}), g AS (SELECT canonical, kind, count(DISTINCT p_partkey) AS listings FROM m GROUP BY 1, 2), n AS (SELECT canonical, kind, name, count(*) AS c FROM m GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY canonical, kind ORDER BY c DESC, name) <= 10), k AS (SELECT canonical, kind, city, count(*) AS c FROM m GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY canonical, kind ORDER BY c DESC, city) <= 5) SELECT canonical, kind, listings, (SELECT string_agg(name, '|' ORDER BY c DESC, name) FROM n WHERE n.canonical = g.canonical AND n.kind = g.kind) AS names, (SELECT string_agg(city, '|' ORDER BY c DESC, city) FROM k WHERE k.canonical = g.canonical AND k.kind = g.kind) AS cities FROM g")
+def _(spark, d):
+    cities = ds.table(spark, d, "part").select(F.col("p_partkey").alias("listing_id"), F.col("p_size").cast("string").alias("city"))
+    out = entities.described(_mentions(spark, d), cities)
+    return out.select("canonical", "kind", "listings", F.array_join("names", "|").alias("names"), F.array_join("cities", "|").alias("cities"))
 
 
 @query("pareto_frontier", f"{ds.L}, x AS (SELECT listing_id, coalesce(price, CAST('infinity' AS DOUBLE)) AS a, coalesce(-CAST(area AS DOUBLE), CAST('infinity' AS DOUBLE)) AS b FROM listings) SELECT listing_id FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b))")
@@ -738,10 +891,22 @@ def _(spark, d):
     return diversify.pareto(ds.listings(spark, d).select("listing_id", "price", "area"), "listing_id", ["price"], ["area"]).select("listing_id")
 
 
-@query("mmr_topk")
+_MMR = f"""WITH RECURSIVE {ds.L.removeprefix('WITH ')},
+pool AS (SELECT listing_id AS k, 1 - price / 3000 AS rel, city_slug AS c, round_even(price / 500, 0) AS b, row_number() OVER (ORDER BY 1 - price / 3000 DESC, listing_id) AS pos FROM listings WHERE price IS NOT NULL ORDER BY pos LIMIT 30),
+far AS (SELECT x.k AS k, y.k AS o, (CAST(x.c <> y.c AS INT) + CAST(x.b <> y.b AS INT)) / 2.0 AS d FROM pool x, pool y),
+step AS (SELECT 1 AS place, [k] AS picked FROM pool WHERE pos = 1
+  UNION ALL
+  SELECT place + 1, list_append(any_value(picked), arg_max(k, score - pos * 1e-9)) FROM (
+    SELECT s.place, s.picked, p.k, p.pos, round(0.7 * any_value(p.rel) + 0.3 * min(f.d), 12) AS score FROM step s, pool p, far f
+    WHERE s.place < 20 AND NOT list_contains(s.picked, p.k) AND f.k = p.k AND list_contains(s.picked, f.o) GROUP BY s.place, s.picked, p.k, p.pos) GROUP BY place)
+SELECT picked[i] AS listing_id, CAST(i AS INT) AS place FROM (SELECT picked FROM step WHERE place = 20), range(1, 21) r(i)"""
+
+
+@query("mmr_topk", _MMR)
 def _(spark, d):
     own = ds.listings(spark, d).where("price IS NOT NULL").select("listing_id", (1 - F.col("price") / 3000).alias("relevance"), "city_slug", "price")
-    return diversify.mmr(own, "listing_id", "relevance", {"city_slug": None, "price": 500.0}, 20, 0.4)
+    pool = own.orderBy(F.desc("relevance"), "listing_id").limit(30)
+    return diversify.mmr(pool, "listing_id", "relevance", {"city_slug": None, "price": 500.0}, 20)
 
 
 @query("set_union_distinct", "SELECT o_custkey FROM orders WHERE o_totalprice > 150000 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
@@ -775,6 +940,17 @@ def _(spark, d):
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
+_AGED = f"""WITH RECURSIVE {ds.E.removeprefix('WITH ')}, g AS (SELECT user_id, created_at, coalesce(created_at - lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, id) >= INTERVAL 2 DAYS, TRUE) AS apart FROM ev),
+s AS (SELECT user_id, min(created_at) AS b FROM g GROUP BY 1 UNION ALL SELECT s.user_id, min(g.created_at) FROM s JOIN g ON g.user_id = s.user_id AND g.created_at > s.b AND (g.apart OR g.created_at >= s.b + INTERVAL 7 DAYS) GROUP BY s.user_id, s.b)
+SELECT s.user_id, epoch_us(s.b) AS start_us, epoch_us(least(max(g.created_at) + INTERVAL 2 DAYS, s.b + INTERVAL 7 DAYS)) AS end_us, count(*) AS n FROM s JOIN g ON g.user_id = s.user_id AND g.created_at >= s.b AND NOT EXISTS (SELECT 1 FROM s t WHERE t.user_id = s.user_id AND t.b > s.b AND t.b <= g.created_at) GROUP BY s.user_id, s.b"""
+
+
+@query("session_absolute_age", _AGED)
+def _(spark, d):
+    out = interactions.sessions(ds.events(spark, d), "2 days", 7)
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 @query("history_window", f"{ds.E} SELECT user_id, count(*) AS n FROM ev WHERE created_at >= TIMESTAMP '2024-01-21' AND created_at <= TIMESTAMP '2024-01-31' GROUP BY 1")
 def _(spark, d):
     return memory.recent(ds.events(spark, d), ds.AS_OF, 10).groupBy("user_id").agg(F.count("*").alias("n"))
@@ -814,13 +990,7 @@ def _(spark, d):
     return images.store_report(own, {"floorplan": ["0", "1", "2"], "main": [str(i) for i in range(9)]})
 
 
-@query("image_self_match", "SELECT vec_id AS image_id, TRUE AS ok FROM embeddings WHERE vec_id < 10")
-def _(spark, d):
-    own = _images(spark, d)
-    return images.self_match(own, own.where("image_id < 10"))
-
-
-@query("image_self_match_whole", f"SELECT image_id, vec_id = image_id AS ok FROM (SELECT q.vec_id AS image_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE r = 1")
+@query("image_self_match", f"SELECT image_id, vec_id = image_id AS ok FROM (SELECT q.vec_id AS image_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE r = 1")
 def _(spark, d):
     own = _images(spark, d)
     return images.self_match(own, own.where("image_id % 50 = 0"))
@@ -862,7 +1032,7 @@ def _(spark, d):
 
 @query("commute_rows_kept", f"{ds.G}, r AS (SELECT id, target_id, {ds.km('lat', 'lon', 'tlat', 'tlon')} AS k, CASE WHEN id % 3 > 0 THEN id % 50 END AS t FROM points, landmarks) SELECT id, target_id FROM r WHERE k <= 40 AND NOT (t IS NULL AND k > 20)")
 def _(spark, d):
-    rows = sg.distances(ds.points(spark, d), ds.landmarks(spark, d)).withColumn("travel_min", F.when(F.col("id") % 3 > 0, F.col("id") % 50))
+    rows = sg.distances(ds.points(spark, d), ds.landmarks(spark, d), 40.0).withColumn("travel_min", F.when(F.col("id") % 3 > 0, F.col("id") % 50))
     return sg.commute_rows(rows).select("id", "target_id")
 
 
@@ -874,9 +1044,9 @@ def _(spark, d):
     return found.select("name", F.regexp_extract("key", r"(\d+)", 1).cast("int").alias("k"))
 
 
-@query("txt_html_parsed")
+@query("txt_html_parsed")  # SQL decodes no entities; a test holds it against the standard library's parser
 def _(spark, d):
-    return ds.table(spark, d, "pages").select("page_id", F.length(tx.html_parsed(F.col("html"))).alias("n"))
+    return ds.table(spark, d, "pages").select("page_id", tx.html_parsed(F.col("html")).alias("plain"))
 
 
 @query("project_api_row", f"{ds.L} SELECT listing_id, CAST(round_even(price, 0) AS INT) AS price, CAST(round_even(area / 7.0, 0) AS INT) AS area, feature_balcony = 1 AS balcony FROM listings")
@@ -889,7 +1059,7 @@ def _(spark, d):
     return ds.listings(spark, d).select("listing_id", tx.tri_state(F.col("feature_balcony"), F.col("feature_elevator"), F.col("feature_parking")).alias("any_feature"))
 
 
-@query("vec_softmax", "WITH l AS (SELECT vec_id, list_transform(range(1, 5), lambda i: CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings), e AS (SELECT vec_id, list_transform(a, lambda x: exp((x - list_max(a)) * 10)) AS p FROM l) SELECT vec_id, round(list_max(list_transform(p, lambda x: x / list_sum(p))), 9) AS top FROM e")
+@query("vec_softmax", "WITH l AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings), e AS (SELECT vec_id, list_transform(a, lambda x: exp((x - list_max(a)) * 10)) AS p FROM l) SELECT vec_id, round(list_max(list_transform(p, lambda x: x / list_sum(p))), 9) AS top FROM e")
 def _(spark, d):
-    a = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    a = F.transform("embedding", lambda x: x.cast("double"))
     return ds.table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(softmax(a, 10.0)), 9).alias("top"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodefuse.functions.text import category, html_text, slug, tri_state
 from lodefuse.operators.gate import FEATURES
 
-# fixed values: spellings of yes and no
+#: Spellings of yes and no in the languages of the feeds.
 YES, NO = ["true", "1", "yes", "y", "ja", "oui", "si"], ["false", "0", "no", "n", "nein", "non"]
 
 REQUIRED = ["listing_id", "title", "description", "city", "price", "rooms"]
@@ -37,9 +37,10 @@ def _column(df: DataFrame, name: str) -> Column:
 
 
 def price(df: DataFrame) -> Column:
-    """Gross rent, else price, else net rent with extras; whole francs."""
-    net, extra = number(_column(df, "rent_net")), number(_column(df, "rent_extra"))
-    return F.coalesce(number(_column(df, "rent_gross")), number(_column(df, "price")), net + F.coalesce(extra, F.lit(0.0))).cast("int")
+    """The first that is positive of gross rent, price, and net rent with its extras; whole francs."""
+    above = lambda c: F.when(c > 0, c)
+    net, extra = above(number(_column(df, "rent_net"))), number(_column(df, "rent_extra"))
+    return F.coalesce(above(number(_column(df, "rent_gross"))), above(number(_column(df, "price"))), net + F.coalesce(extra, F.lit(0.0))).cast("int")
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ def test_slug_and_category(spark):
 
 
 def test_streets_and_urls(spark):
-    assert values(spark, ["Bahnhofstrasse 12a", "Am Weg", None], tx.street) == ["Bahnhofstrasse", "Am Weg", None]
+    assert values(spark, ["Bahnhofstrasse 12a", "Am Weg", None], tx.street) == ["bahnhofstrasse", "am weg", None]
     assert values(spark, ["Bahnhofstrasse 12a", "Am Weg"], tx.house_number) == ["12a", None]
     assert values(spark, ["https://x.ch/show/123?a=1", "https://x.ch/show/123", "https://x.ch/show/123/x"], tx.url_id) == ["123", "123", None]
 
