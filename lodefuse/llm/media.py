@@ -10,9 +10,10 @@ executor leaves nothing but an unlisted file.
 
 Media here are 8-bit grey images 576 samples wide, stored as PNG, which is lossless.
 
-Edge cases: null and empty texts are one row of padding; repeated rows are separate members;
-an empty table makes no archive and no rows; a null doc_id is kept. Other columns are
-ignored, whatever their names.
+Edge cases: null and empty texts are one row of padding; a very long text is one member, its
+payload held whole by one task; repeated rows are separate members, told apart by offset;
+nothing is ordered, so there are no ties; an empty table makes no archive and no rows; a null
+doc_id is kept. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from lodefuse.llm import files
-from lodefuse.llm.common import shared_path, slim, table, texts
+from lodefuse.llm.common import parts, shared_path, slim, table, texts
 
 WIDTH = 576
 PADDING = 255
@@ -121,7 +122,6 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.archive_bytes = path, archive_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        warnings.simplefilter("ignore")
         system, root = files.place(self.path)
         system.create_dir(root, recursive=True)
         names: list[str] = []
@@ -133,7 +133,9 @@ class _Writer(DataSourceArrowWriter):
                     names.append(f"{uuid.uuid4().hex}.zip")
                     out = system.open_output_stream(f"{root}/{names[-1]}", compression=None)
                     archive, at = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED), 0
-                archive.writestr(zipfile.ZipInfo("" if key is None else str(key)), member or b"")
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")  # repeated keys are meant
+                    archive.writestr(zipfile.ZipInfo("" if key is None else str(key)), member or b"")
                 at += len(member or b"") + 256
                 if at > self.archive_bytes:
                     archive.close()
@@ -273,11 +275,9 @@ def as_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, media): each text as an image; the key is its doc_id."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, own = batch.column("doc_id").to_pylist(), texts(batch)
-            for at in range(0, len(own), 500):
-                media = [encode(padded(t, width), width) for t in own[at : at + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array([None if k is None else str(k) for k in keys[at : at + 500]], pa.string()), pa.array(media, pa.binary())], names=["key", "media"])
+        for batch in parts(batches):
+            media = [encode(padded(t, width), width) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array(media, pa.binary())], names=["key", "media"])
 
     return slim(docs, "doc_id", "text").mapInArrow(made, "key string, media binary")
 

@@ -3,16 +3,19 @@
 Fingerprints of whole texts are made in Arrow batches. Distinct fingerprints meet where two
 of their four 16-bit blocks agree (any two within distance 2 do so); keys that hold many
 fingerprints are split exactly once more, by thirds of the remaining 32 bits, of which one
-must agree as well. Within a bucket, bit planes are stored vertically: plane b holds bit b
-of every fingerprint of a block of lanes, so one query updates the distances to thousands of
-lanes with a few wide bitwise operations, counting in carry-save form; a block is abandoned
-once every lane exceeds the radius. A bucket yields a spanning forest, never all its pairs,
-and components follow by alternating stars.
+must agree as well, and what is still large by pairs of blocks, each pair a bucket, so no
+task holds more than two blocks of lanes. Within a bucket, bit planes are stored vertically:
+plane b holds bit b of every fingerprint of a block of lanes, so one query updates the
+distances to thousands of lanes with a few wide bitwise operations, counting in carry-save
+form; a block is abandoned once every lane exceeds the radius. A bucket yields a spanning
+forest, never all its pairs, and components follow by alternating stars, which settle in a
+logarithm of rounds; beyond 60 they give up with an error.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a text with
-fewer than three words hashes its whole word sequence; repeated rows share a component; an
-empty table gives no rows; rows with a null doc_id get the least doc_id of the others that
-they reach, or null. Other columns are ignored, whatever their names.
+fewer than three words hashes its whole word sequence; a very long text is hashed whole; bits
+set in exactly half the hashes are 0; repeated rows share a component; an empty table gives
+no rows; rows with a null doc_id get the least doc_id of the others that they reach, or
+null. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,12 +154,12 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key")]
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "i", "j")]
         fps, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "node"))
-        change = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         cuts = [0, *change.tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            key = (keys[0][a], keys[1][a])
+            key = tuple(k[a] for k in keys)
             if key != last and held:
                 if sum(len(x[0]) for x in held) > 1:
                     yield of(np.concatenate([x[0] for x in held]).view(np.uint64), np.concatenate([x[1] for x in held]))
@@ -167,7 +170,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(np.concatenate([x[0] for x in held]).view(np.uint64), np.concatenate([x[1] for x in held]))
 
 
-def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
+def links(distinct: DataFrame, split: int = SPLIT, lanes: int = LANES) -> DataFrame:
     """Edges (u, v) that span all links at distance 2 or less between distinct (fp, node)."""
     part = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     combos = [(i, j) for i in range(4) for j in range(i + 1, 4)]
@@ -177,11 +180,17 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
         kinds.append(F.struct(F.lit(n).alias("kind"), (F.shiftleft(part(i), 16) + part(j)).alias("key"), (F.shiftleft(part(a), 16) + part(b)).alias("rest")))
     keyed = distinct.select("fp", "node", F.explode(F.array(*kinds)).alias("k")).select("fp", "node", "k.*")
     sizes = keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["kind", "key"])
-    thirds = F.array(*[F.when(F.col("n") > split, F.struct((F.col("kind") * 4 + t + 1).alias("kind"), (F.shiftleft("key", 11) + F.shiftrightunsigned("rest", s).bitwiseAND(F.lit(m))).alias("key"))) for t, s, m in ((0, 21, 0x7FF), (1, 10, 0x7FF), (2, 0, 0x3FF))])
-    one = F.array(F.struct((F.col("kind") * 4).alias("kind"), F.col("key").alias("key")))
-    dealt = met.select("fp", "node", F.explode(F.when(F.col("n") > split, thirds).otherwise(one)).alias("k")).select("fp", "node", "k.kind", "k.key")
-    return dealt.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_edges, "u long, v long")
+    met = keyed.join(saved(sizes, "sizes"), ["kind", "key"])
+    thirds = F.array(*[F.struct((F.col("kind") * 4 + t + 1).alias("kind"), (F.shiftleft("key", 11) + F.shiftrightunsigned("rest", s).bitwiseAND(F.lit(m))).alias("key")) for t, s, m in ((0, 21, 0x7FF), (1, 10, 0x7FF), (2, 0, 0x3FF))])
+    whole = F.lit(0).cast("long")
+    small = met.where(F.col("n") <= split).select("fp", "node", (F.col("kind") * 4).alias("kind"), "key", whole.alias("i"), whole.alias("j"))
+    parted = met.where(F.col("n") > split).select("fp", "node", F.explode(thirds).alias("k")).select("fp", "node", "k.kind", "k.key")
+    counts = saved(parted.groupBy("kind", "key").agg(F.ceil(F.count("*") / lanes).alias("blocks"), F.count("*").alias("n")).where("n > 1"), "counts")
+    own = parted.join(counts.drop("n"), ["kind", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    paired = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = paired.select("fp", "node", "kind", "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    keys = ["kind", "key", "i", "j"]
+    return small.unionByName(large).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_edges, "u long, v long")
 
 
 def _labelled(made: DataFrame) -> DataFrame:

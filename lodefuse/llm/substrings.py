@@ -1,4 +1,4 @@
-"""Exact substring deduplication by seed and extend.
+"""Substring deduplication by seed and extend.
 
 Seeds are winnowed anchors: of the 10-word grams of each 50-word window the least is chosen
 (rightmost of equals), so two documents that share a window share its anchor at the same
@@ -10,9 +10,13 @@ smallest of those that start alike, and windows still left over meet by their ha
 
 Documents with equal word sequences are settled beforehand by a digest of the sequence, so a
 large group of copies costs one row each. No pairs within an anchor's group are made: work
-is linear in its rows, and joins on anchors are plain shuffle joins that can be split.
+is linear in its rows, and joins on anchors and digests are plain shuffle joins of stored
+tables that can be split. Windows are told apart by 64-bit hashes of their words, whole
+sequences by 128-bit digests.
 
-Edge cases: null and empty texts have no words; documents under 50 words stay whole; a null
+Edge cases: null and empty texts have no words; documents under 50 words stay whole; very
+long texts are hashed in overlapping stretches; of equal hashes the rightmost is the anchor;
+a null
 doc_id is neither smaller nor larger than any other, so such rows neither remove nor lose
 words; repeated rows (equal doc_id) do not remove each other; an empty table gives no rows.
 Other columns are ignored, whatever their names.
@@ -205,7 +209,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
     and the runs of windows (doc_id, digest, start, length) that start in a smaller document too."""
     docs = slim(docs, "doc_id", "text")
     seeds = saved(docs.mapInArrow(_seeds(window, gram), "doc_id long, digest binary, n_words long, kept_sha256 string, anchors array<long>"), "seeds")
-    least = seeds.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
+    # stored, so that the join deals both sides by digest and document, and no large group of copies meets in one task
+    least = saved(seeds.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"), "least")
     own = seeds.join(least, ["digest", "doc_id"]).select("doc_id", "digest", F.explode("anchors").alias("anchor"))
     shared = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     wanted = own.join(shared, "anchor").groupBy("doc_id", "digest").agg(F.collect_set("anchor").alias("anchors"))
@@ -253,6 +258,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     cut = cut.select("doc_id", "digest", F.col("n_removed").alias("cut_n"), F.col("kept_sha256").alias("cut_sha"), "kept")
     # copies of a smaller document's whole word sequence lose all of it
     least = seeds.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")).where("n > 1").select("digest", "least_id")
+    least = saved(least, "copies")
     all_rows = seeds.drop("anchors").join(least, "digest", "left").join(cut, ["doc_id", "digest"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("least_id"), F.lit(False))
     return all_rows.select(

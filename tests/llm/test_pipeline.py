@@ -100,6 +100,30 @@ def test_run_and_registration(spark, folder):
     assert len([n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]) == 10
 
 
+def test_clashing_columns_long_texts_ties_and_nulls(spark, tmp_path):
+    rng = random.Random(3)
+    long = " ".join(f"word{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, long, "en", "a", len(long)), (2, long + " tail", "en", "a", 1), (3, "mail a.b@c.de now", "en", "b", None), (3, "mail a.b@c.de now", "en", "b", None), (None, None, None, None, None), (None, None, None, None, None), (4, "", "en", "", 0)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ", Node string, SH long, row string, shard int, kept_id int, label int, `a.b` string, score string"
+    spark.createDataFrame([(*r, "x", 1, "y", 2, 3, 4, "z", "s") for r in rows], names + extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0, "q")], "doc_id long, quality int, toxic int, Text string").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert docs.columns == columns
+            docs.write.parquet(f"{tmp_path}/{name}.parquet")
+            docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        seen[name] = docs.collect()
+    assert len(seen["toxicity"]) == 7
+    assert sorted((r.doc_id or 0) for r in seen["near_duplicates"]) == [1, 3, 4]
+    assert [r.text for r in seen["personal_data"] if r.doc_id == 3] == ["mail [EMAIL] now"]
+    assert {r["a.b"] for r in seen["mixing"]} == {"z"} and {r.doc_id for r in seen["mixing"]} >= {1, 3}
+    assert max(r.piece for r in seen["packing"] if r.doc_id == 1) > 20
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -55,6 +55,24 @@ def test_links_with_and_without_split(spark):
         assert {i: found.get(i, i) for i in range(len(fps))} == brute_components(fps)
 
 
+def test_a_dense_family_is_split_into_block_pairs(spark):
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(900)})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(signed)], "fp long, node long")
+    found = {r.node: r.component for r in components(simhash.links(df, 64, 16)).collect()}
+    assert {i: found.get(i, i) for i in range(len(fps))} == brute_components(fps)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " "), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got[1] == got[2] == (brute_fp(long), 1) and got[3][1] == 3
+
+
 def brute_fp(text):
     import re
 
