@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from lodefuse.llm.common import saved
 
 
+#: Edges of a stored file: few edges need few tasks.
+FILE_EDGES = 100_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over (u, v): every neighbour v of u meets the least member of u's neighbourhood."""
     if large:
@@ -36,6 +40,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).first()
         if not seen["n"] or tuple(seen) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = tuple(seen)
-        now = saved(_star(saved(_star(now, True), "edges"), False), "edges")
+        mark, files = tuple(seen), 1 + seen["n"] // FILE_EDGES
+        now = saved(_star(saved(_star(now, True).coalesce(files), "edges"), False).coalesce(files), "edges")
     raise RuntimeError("the components did not settle")
