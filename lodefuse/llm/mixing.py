@@ -198,16 +198,20 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: docs' columns, a row for each taking, shards apart and shuffled within; a part is a text's first words, a space between."""
     names = docs.columns
     row, shard, key, words, n = (fresh(docs, c) for c in ("row", "shard", "key", "words", "n"))
+    # plain equal columns, so that join and removal of repeats share one exchange of the texts
+    at, no, of, none, h = (fresh(docs, f"mix_{c}") for c in ("id", "no_id", "source", "no_source", "hash"))
+    keyed = {at: F.coalesce("doc_id", F.lit(0).cast("long")), no: F.col("doc_id").isNull(), of: F.coalesce("source", F.lit("")), none: F.col("source").isNull()}
+    columns = [c.alias(k) for k, c in keyed.items()]
     takes = mixed.select("doc_id", "source", "text_hash", "size", F.explode("shards").alias("t"))
-    takes = takes.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_hash").alias("h"), F.col("size").alias(n), F.col("t.shard").alias(shard), F.col("t.words").alias(words), F.col("t.key").alias(key))
-    own = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in names]).alias(row)).dropDuplicates(["doc_id", "source", "text_hash"])
-    met = takes.join(own, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("h") == F.col("text_hash")))
+    takes = takes.select(*columns, F.col("text_hash").alias(h), F.col("size").alias(n), F.col("t.shard").alias(shard), F.col("t.words").alias(words), F.col("t.key").alias(key))
+    own = docs.select(*columns, F.xxhash64("text").alias(h), F.struct(*[F.col(f"`{c}`") for c in names]).alias(row)).dropDuplicates([*keyed, h])
+    met = takes.join(own, [*keyed, h])
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(row)["text"], F.lit(WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), " ")
     text = F.when(F.col(words) == F.col(n), F.col(row)["text"]).otherwise(part)
     cut = F.char_length(text).cast("long")
-    columns = {"text": text} | ({"n_chars": F.coalesce(cut, F.col(row)["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    met = met.repartition(shard).sortWithinPartitions(shard, key, "doc_id")
-    return met.select(*[columns.get(c, F.col(row)[c]).alias(c) for c in names])
+    changed = {"text": text} | ({"n_chars": F.coalesce(cut, F.col(row)["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    met = met.repartition(shard).sortWithinPartitions(shard, key, at)
+    return met.select(*[changed.get(c, F.col(row)[c]).alias(c) for c in names])
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
