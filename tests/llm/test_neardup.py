@@ -153,3 +153,33 @@ def test_a_family_that_one_task_must_not_hold(spark, monkeypatch):
 
 def test_empty(spark):
     assert neardup.representatives(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_simhash_gives_candidates(spark):
+    """The stage's nodes meet by their SimHash: what all pairs of fingerprints link, candidates connect, and no others."""
+    rng = np.random.default_rng(8)
+    fps = [int(x) for x in rng.integers(0, 1 << 62, 30)]
+    fps += [f ^ (1 << int(rng.integers(0, 60))) for f in fps[:20]] + fps[:10]
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "node long, fp long")
+    root = list(range(len(fps)))
+    for r in neardup.simhash_pairs(nodes).collect():
+        lo, hi = sorted((root[r.a], root[r.b]))
+        root = [lo if x == hi else x for x in root]
+    group = [i if i < 30 else i - 30 if i < 50 else i - 50 for i in range(len(fps))]
+    for i in range(len(fps)):
+        assert [root[i] == root[k] for k in range(len(fps))] == [group[i] == group[k] for k in range(len(fps))]
+    own = neardup.shingles(b"one two three four five six seven")
+    assert 0 < neardup.simhash(own) < 1 << 64
+
+
+def test_stage_takes_simhash_candidates(spark, monkeypatch):
+    """Without the prefix filter's pairs the stage still drops what SimHash finds: its step isn't replaced."""
+    met = neardup._met
+    monkeypatch.setattr(neardup, "_met", lambda batches: (b.slice(0, 0) for b in met(batches)))
+    rng = random.Random(2)
+    rows = []
+    for i in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+        rows += [(i, " ".join(words)), (10 + i, " ".join([*words, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.representatives(docs).collect()) == list(range(6)) == brute(rows)
