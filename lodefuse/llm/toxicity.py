@@ -365,7 +365,10 @@ class Model:
             for batch, made in zip(one, scored(two), strict=True):
                 yield batch.filter(pc.less(made.column("score"), threshold))
 
-        return docs.mapInArrow(kept, docs.schema)
+        # numbered columns inside: mapInArrow looks them up by names, and takes a point in one for a path
+        names = [c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)]
+        inside = docs.toDF(*names)
+        return inside.mapInArrow(kept, inside.schema).toDF(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
