@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import json
 import re
 import tempfile
@@ -17,8 +18,29 @@ from pyspark.sql import functions as F
 #: One whitespace-delimited word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows and bytes of an Arrow batch, which the executor's JVM makes outside its heap and doubles as it grows.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are bounded; fewer rows stay as they are."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.max{}PerBatch"
+    if not 0 < int(conf.get(name.format("Records"))) <= BATCH_ROWS:
+        conf.set(name.format("Records"), str(BATCH_ROWS))
+    conf.set(name.format("Bytes"), str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns to the system what a worker that is used again has freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,6 +76,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,6 +98,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `most` bytes of text, or of a single longer text: what a worker holds doesn't depend on batches."""
+    give_back()  # of the task before
     for batch in batches:
         own = batch.column(name)
         sizes = own.cast(pa.large_binary()) if own.type != pa.large_binary() else own
@@ -84,6 +108,7 @@ def parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, name: str = "t
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
 
 
 def slim(df: DataFrame, *columns: str) -> DataFrame:
