@@ -53,23 +53,33 @@ def _cells(df: DataFrame, size: float, spread: bool, lat: str, lon: str) -> Data
     return df.withColumn("gx", F.explode(neighbours(x))).withColumn("gy", F.explode(neighbours(y)))
 
 
-def within(points: DataFrame, targets: DataFrame, radius_km: float, max_lat: float = 60.0) -> DataFrame:
+def within(points: DataFrame, targets: DataFrame, radius_km: float, max_lat: float = 60.0, tasks: int | None = None) -> DataFrame:
     """Pairs of points (id, lat, lon) and targets (target_id, tlat, tlon) within a radius, met on a grid.
 
-    A cell is at least the radius high, and wide, up to max_lat degrees from the equator.
+    A cell is at least the radius high, and wide, up to max_lat degrees from the equator. With `tasks`
+    cells are dealt to so many: few bytes can make many pairs, and Spark would merge small tasks.
     """
     import math
 
     size = radius_km / DEGREE_KM / max(0.05, math.cos(math.radians(max_lat)))
-    met = _cells(points, size, False, "lat", "lon").join(_cells(targets, size, True, "tlat", "tlon"), ["gx", "gy"])
+    own, others = _cells(points, size, False, "lat", "lon"), _cells(targets, size, True, "tlat", "tlon")
+    if tasks:
+        own, others = own.repartition(tasks, "gx", "gy"), others.repartition(tasks, "gx", "gy")
+    met = own.join(others, ["gx", "gy"])
     out = met.withColumn("dist_km", haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")))
     return out.where(F.col("dist_km") <= radius_km).drop("gx", "gy")
 
 
 def radius_count(points: DataFrame, targets: DataFrame, radius_km: float) -> DataFrame:
-    """(id, n): how many targets each point has within the radius; none is 0."""
-    found = within(points, targets, radius_km).groupBy("id").agg(F.count("*").alias("n"))
-    return points.select("id").join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    """(id, n): how many targets each point has within the radius; none is 0.
+
+    Places meet once, however many points or targets share them.
+    """
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spots, there = points.select("lat", "lon").distinct(), targets.groupBy("tlat", "tlon").agg(F.count("*").alias("w"))
+    found = within(spots, there, radius_km, tasks=tasks).groupBy("lat", "lon").agg(F.sum("w").alias("n"))
+    own = points.select("id", "lat", "lon").join(found, ["lat", "lon"], "left")
+    return own.groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def _typical_km(targets: DataFrame) -> float:

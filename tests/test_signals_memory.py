@@ -131,3 +131,12 @@ def test_audit(spark):
     assert curve[1] == 1 and curve[3] == 1 and curve[4] == 2 and curve[90] == 2
     assert {r.field: (r.filled, r.total) for r in audit.coverage(df, ["c"]).collect()} == {"c": (5, 6)}
     assert audit.profile(spark.createDataFrame([("1",), ("22",), (None,)], "s string"), "s").first()["class"] == "int"
+
+
+def test_radius_count_meets_places_once(spark):
+    from lodefuse.operators import signals as sg
+
+    points = spark.createDataFrame([(1, 46.0, 7.0), (2, 46.0, 7.0), (3, None, 7.0), (4, 50.0, 7.0), (5, 46.1, 7.0), (5, 46.0, 7.0)], "id long, lat double, lon double")
+    targets = spark.createDataFrame([(i, 46.05, 7.0) for i in range(3)] + [(9, 46.0, 7.0)], "target_id long, tlat double, tlon double")
+    got = sorted(tuple(r) for r in sg.radius_count(points, targets, 10.0).collect())
+    assert got == [(1, 4), (2, 4), (3, 0), (4, 0), (5, 7)]  # 46.1 is 11.1 km from 46.0
