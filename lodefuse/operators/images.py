@@ -59,11 +59,32 @@ def orphans(images: DataFrame, metadata: DataFrame, key: str = "image_id") -> Da
     return images.join(metadata.select(key), key, "left_anti").select(key)
 
 
+#: Coordinates of the grid on which an image meets those that can come nearer to it than itself, and slack for rounding.
+AXES, SLACK = 3, 1e-10
+
+
 def self_match(images: DataFrame, sample: DataFrame) -> DataFrame:
-    """(image_id, ok): whether each sampled image is its own nearest."""
-    own = sample.select(F.col("image_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = against(images, own, "query_id").groupBy("query_id").agg(F.min_by("image_id", F.struct(-dot(F.col("embedding"), F.col("q")), F.col("image_id"))).alias("top"))
-    return scored.select(F.col("query_id").alias("image_id"), (F.col("top") == F.col("query_id")).alias("ok"))
+    """(image_id, ok): whether each sampled image is its own nearest.
+
+    A rival e of q has e.q >= q.q, so |e - q|^2 <= |e|^2 - |q|^2: no coordinate differs by more
+    than the root of the largest such difference. They meet on a grid of cells of that width;
+    equal vectors are one rival, the least id. Without a vector the least id of all is nearest.
+    """
+    size = lambda c: dot(F.col(c), F.col(c))
+    ends = images.agg(F.max(size("embedding")).alias("most"), F.min("image_id").alias("least")).first()
+    low = sample.agg(F.min(size("embedding"))).first()[0]
+    most = ends["most"] or 0.0
+    width = (max(0.0, most - (low or 0.0)) + SLACK * (1 + most)) ** 0.5
+    grid = lambda c, i: F.floor(F.coalesce(F.get(F.col(c), F.lit(i)).cast("double"), F.lit(0.0)) / width)
+    rivals = images.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("image_id").alias("rival"))
+    rivals = rivals.select("embedding", "rival", *[grid("embedding", i).alias(f"g{i}") for i in range(AXES)])
+    asked = sample.where("embedding IS NOT NULL").select(F.col("image_id").alias("query_id"), F.col("embedding").alias("q"), size("embedding").alias("own"))
+    for i in range(AXES):
+        asked = asked.withColumn(f"g{i}", F.explode(F.sequence(grid("q", i) - 1, grid("q", i) + 1)))
+    met = asked.join(rivals, [f"g{i}" for i in range(AXES)]).select("query_id", "own", "rival", dot(F.col("embedding"), F.col("q")).alias("s"))
+    beaten = met.where("s > own OR (s = own AND rival < query_id)").select(F.col("query_id").alias("image_id"), F.lit(True).alias("beaten")).distinct()
+    alone = F.col("embedding").isNotNull() | (F.col("image_id") == F.lit(ends["least"]))
+    return sample.join(beaten, "image_id", "left").select("image_id", (F.col("beaten").isNull() & alone).alias("ok"))
 
 
 def store_report(images: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:

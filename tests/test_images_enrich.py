@@ -49,3 +49,23 @@ def test_search_metadata(spark):
     page = spark.createDataFrame([("1", "bern", 100)], "listing_id string, city_slug string, price int")
     got = search.explained(page, FilterSpec(city=["bern"], max_price=50)).first()
     assert [(c.label, c.passed) for c in got.checks] == [("city", True), ("price", False)]
+
+
+def test_self_match_against_all_pairs_without_meeting_them(spark):
+    import random
+
+    from lodefuse.operators import images
+
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)]
+    rows += [(100 + i, list(v)) for i, v in rows[:10]] + [(200 + i, [x * 1.5 for x in v]) for i, v in rows[20:25]] + [(7000, None)]
+    unit = [(i, v and [x / sum(y * y for y in v) ** 0.5 for x in v]) for i, v in rows]
+    for own in (rows, unit):
+        df = spark.createDataFrame(own, "image_id long, embedding array<double>")
+        got = {r.image_id: r.ok for r in images.self_match(df, df).collect()}
+        dot = lambda a, b: sum((x * y for x, y in zip(a, b)), 0.0)  # noqa: E731, B905
+        have = [(i, v) for i, v in own if v]
+        want = {i: min((-dot(e, v), k) for k, e in have)[1] == i for i, v in have} | {7000: False}
+        assert got == want
+        plan = images.self_match(df, df)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
