@@ -111,3 +111,76 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.scores(docs, none).collect()] == [0.0]
     assert quality.scores(docs.limit(0), none).count() == 0
+
+
+def test_rows_beyond_any_sample_are_learned_from(spark):
+    """Bars tell bad texts only among labelled rows whose hashed doc_id comes after 12,000 others."""
+    from pyspark.sql import functions as F
+
+    from lodefuse.llm import learn
+
+    ids = [r.doc_id for r in spark.range(18_000).toDF("doc_id").where(~learn.held_out()).orderBy(F.xxhash64("doc_id")).collect()]
+    assert len(ids) > 13_500
+    rng, words = random.Random(8), ["river", "stone", "garden", "window", "bread", "music"]
+    text = lambda mark: " ".join(rng.choice(words) + (mark if k % 3 == 0 else "") for k in range(9))
+    rows = [(i, text("" if i % 2 else "!" if at < 12_000 else "|"), i % 2) for at, i in enumerate(ids)]
+    new = [(10**6 + k, text(("|", "")[k % 2])) for k in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + new, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.score >= 0.3 for r in quality.scores(docs, labels).collect()}
+    assert sum(got[10**6 + k] == bool(k % 2) for k in range(200)) >= 190
+    assert abs(sum(got[i] for i in ids) - sum(i % 2 for i in ids)) <= 1
+
+
+def test_fit_over_blocks_is_that_of_all_their_pairs(spark):
+    from lodefuse.llm import learn
+
+    rng = random.Random(9)
+    rows = [(i, make(rng, (i % 4 > 0) != (rng.random() < 0.15))) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(700)], "doc_id long, quality int")
+    model = quality.Model(quality.described(docs), labels, 64)
+    blocks = sorted((r.asDict() for r in model.blocks.collect()), key=lambda r: r["block"])
+    import zlib
+
+    own = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5]
+    assert len(blocks) == -(-len(own) // 64)
+    x = quality.expand(np.array([plain_features(rows[i][1].encode()) for i in own]))
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-9)
+    pairs, home = [], 0
+    for block, found, y, at_home in map(quality.unpacked, blocks):
+        winners, losers = quality.preferences(y, seed=1 + block)
+        turn = 8 * int(y.sum())
+        chosen = np.concatenate([winners[:turn], losers[turn:]])
+        z = (found - model.mean) / model.scale
+        pairs.append((z[winners] - z[losers])[at_home[chosen]])
+        home += at_home.sum()
+    d = np.concatenate(pairs)
+    assert home == len(own) and len(d) == 8 * len(own)
+    assert np.allclose(model.weights, learn.logistic(d, np.ones(len(d)), 1e-5), atol=1e-6)
+    latent, truth = (x - model.mean) / model.scale @ model.weights, np.array([float(i % 4 > 0) for i in own])
+    assert np.isclose(model.cut, np.quantile(latent, 1 - truth.mean()), rtol=0, atol=1e-9)
+    assert np.isclose(model.slope, learn.logistic(np.stack([np.ones(len(own)), latent], 1), truth, 1e-6)[1])
+
+
+def test_rare_class_is_met_in_every_block(spark):
+    for held in ([0, 3, 0, 0, 1], [9, 9, 9], [0, 0, 1], [20, 0, 0, 0], [1, 2, 3, 4, 5, 6]):
+        n, need = len(held), min(8, sum(held))
+        plain = next(k for k in range(1, n + 1) if all(sum(held[(i + j) % n] for j in range(k)) >= need for i in range(n)))
+        assert quality.spread(np.array(held)) == plain
+    rng = random.Random(10)
+    rows = [(i, make(rng, i % 200 == 1)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 200 == 1)) for i in range(600)], "doc_id long, quality int")
+    model = quality.Model(quality.described(docs), labels, 50)
+    for _, _, y, _ in (quality.unpacked(r.asDict()) for r in model.blocks.collect()):
+        assert 0 < y.sum() <= 3 and (y == 0).sum() >= 8
+    assert np.isfinite(model.weights).all()
+
+
+def test_quantile_is_exact(spark):
+    rng = np.random.default_rng(11)
+    for values in (rng.normal(size=301), rng.integers(-2, 3, 90).astype(float), np.array([-1.5]), np.array([0.0, -3e300, 1e-300, 7.25])):
+        found = spark.createDataFrame([(int(k),) for k in quality.keys(values)], "key long")
+        for q in (0.0, 0.37, 1.0):
+            assert np.isclose(quality.quantile(found, len(values), q), np.quantile(values, q), rtol=1e-12, atol=0), (values, q)
